@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, packing, token_counts
+from rowloom.llm import bpe, language_id, packing, token_counts
+from rowloom.llm.common import doc_crc
 
 CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 4096
 
@@ -33,10 +34,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", doc_crc() % 5 == 0)
+    fitted = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, fitted, keep=("doc_id", "held_out"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
