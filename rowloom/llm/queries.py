@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, language_id, packing, token_counts
-from rowloom.llm.common import doc_crc
+from rowloom.llm import bpe, language_id, media, packing, token_counts
+from rowloom.llm.common import doc_crc, materialise
 
 CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 4096
 
@@ -34,6 +34,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is stored as a picture; a page refers to it; the parsed reference finds what the stored picture holds."""
+    stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
+    refs = media.references(media.parse(stored.select(F.struct("doc_id", "n_bytes").alias("doc"), "page"), key="doc", column="page"), key="doc")
+    found = media.resolve(refs, media.features(stored), stored.count())
+    return found.select(
+        "doc.doc_id", "doc.n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", doc_crc() % 5 == 0)
     fitted = language_id.fit(docs.filter(~F.col("held_out")))
@@ -44,6 +54,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
 }
 
