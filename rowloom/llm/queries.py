@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, language_id, media, packing, token_counts
+from rowloom.llm import bpe, language_id, media, packing, simhash, token_counts
 from rowloom.llm.common import doc_crc, materialise
 
 CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 4096
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
