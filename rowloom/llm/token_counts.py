@@ -55,6 +55,7 @@ class PrefixCounter:
             if len(piece) > 2:
                 self.longest[piece[-3:]] = max(self.longest.get(piece[-3:], 0), len(piece))
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.starts: dict[str, bool] = {}
         self.totals: dict[str, int] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -79,6 +80,12 @@ class PrefixCounter:
             known = self.pairs[left, right] = self._merged(left + right) == [left, right]
         return known
 
+    def _starts(self, piece: str) -> bool:
+        known = self.starts.get(piece)
+        if known is None:
+            known = self.starts[piece] = self._merged(piece) == [piece]
+        return known
+
     def table(self, chunk: str) -> list[int]:
         """Counts of the prefixes of one chunk (mark included), index 0 the empty one."""
         score, longest, fits = self.score, self.longest.get, self._fits
@@ -86,7 +93,7 @@ class PrefixCounter:
         for end in range(1, len(chunk) + 1):
             for start in range(max(0, end - longest(chunk[max(0, end - 3) : end], 2)), end - 1):
                 piece = chunk[start:end]
-                if piece in score and (not last[start] and self._merged(piece) == [piece] or last[start] and fits(last[start], piece)):
+                if piece in score and (fits(last[start], piece) if start else self._starts(piece)):
                     counts.append(counts[start] + 1)
                     last.append(piece)
                     break
