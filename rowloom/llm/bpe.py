@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-The library encodes; a memo keeps what it said for each match of the
+The library encodes; a memo keeps what its model said for each match of the
 pre-tokenisation pattern, because byte-level BPE never merges across matches.
-Only texts whose characters are in `SETTLED` go through the memo: there the
-regular-expression engines of Python and of the library agree. Any other text,
-and any text with a special token's string, is given to the library whole.
+Only texts whose characters are all in `LETTERS`, `DIGITS`, ASCII and a few
+signs go through the memo: there the pattern below finds just what the library
+finds. Any other text, and any text with a special token's string, is given to
+the library whole.
 
 Decoding turns ids into bytes by the byte table; bytes join before they are
 read as UTF-8, so characters that are split over tokens come out whole.
@@ -22,16 +23,20 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from rowloom.llm.common import text_of
 
-#: Characters outside these leave the memo: tab, line ends, ASCII, Latin letters and signs, common punctuation.
+#: Latin letters and number signs, as the library's pattern classes them.
+LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+#: Any other character than these leaves the memo.
 SETTLED = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ſ–—‘’“”…€]")
+#: public_tokenizers.PATTERN over those characters.
+MATCHES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 #: Matches that a worker remembers, about 200 bytes each; the memo starts anew beyond that.
 MEMO_ENTRIES = 600_000
 
@@ -102,46 +107,63 @@ def little_endian(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
+def splits_as_public(spec: dict) -> bool:
+    """Whether a tokenizer cuts texts by the public pattern and by nothing else."""
+    pre, level = spec.get("pre_tokenizer") or {}, {}
+    if pre.get("type") == "Sequence" and len(pre["pretokenizers"]) == 2:
+        split, level = pre["pretokenizers"]
+        cut = split.get("type") == "Split" and split.get("pattern") == {"Regex": public_tokenizers.PATTERN} and split.get("behavior") == "Isolated" and not level.get("use_regex")
+    else:
+        level = pre
+        cut = level.get("use_regex", False)
+    plain = level.get("type") == "ByteLevel" and not level.get("add_prefix_space")
+    return bool(cut and plain and not spec.get("normalizer") and spec["model"].get("type") == "BPE")
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer_json: str, pattern: str):
+    def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         spec = json.loads(tokenizer_json)
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
-        self.find = regex.compile(pattern).findall
+        self.model, self.alphabet = self.library.model, byte_alphabet()
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.remembers = splits_as_public(spec)
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return little_endian(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _match(self, match: str) -> bytes:
+        return little_endian([t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))])
+
     def encode(self, text: str) -> bytes:
-        if SETTLED.search(text) or any(a in text for a in self.added):
+        if not self.remembers or SETTLED.search(text) or any(a in text for a in self.added):
             return self.whole(text)
-        matches = self.find(text)
+        matches = MATCHES.findall(text)
         found = [*map(self.memo.get, matches)]
         if None in found:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            new = [*{m for m in matches if m not in self.memo}]
-            for m, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[m] = little_endian(e.ids)
+            for m in matches:
+                if m not in self.memo:
+                    self.memo[m] = self._match(m)
             found = [*map(self.memo.__getitem__, matches)]
         return b"".join(found)
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(tokenizer_json: str, pattern: str) -> Encoder:
+def encoder(tokenizer_json: str) -> Encoder:
     """One encoder per worker and vocabulary; a reused worker keeps its memo."""
-    key = (hash(tokenizer_json), pattern)
+    key = hash(tokenizer_json)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json, pattern)
+        _ENCODERS[key] = Encoder(tokenizer_json)
     return _ENCODERS[key]
 
 
@@ -163,7 +185,7 @@ def _with_arrow(docs: DataFrame, keep: list[str], column: str, make, fields: str
     return narrow.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer_json: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_json: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", offsets: bool = False) -> DataFrame:
     """`keep` and `ids` (binary, little-endian uint32) of every text.
 
     With `offsets`, also `char_start` and `char_end`: per token, the code
@@ -172,7 +194,7 @@ def encode(docs: DataFrame, tokenizer_json: str, pattern: str, *, keep: tuple[st
     """
 
     def make(texts: pa.Array) -> dict:
-        e = encoder(tokenizer_json, pattern)
+        e = encoder(tokenizer_json)
         if not offsets:
             return {"ids": pa.array([e.encode(t) for t in texts.to_pylist()], pa.binary())}
         table, ids, starts, ends = byte_table(tokenizer_json), [], [], []
@@ -212,7 +234,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "t
     tokenizer_json = tokenizer_from_ranks(read_ranks(ranks_path), pattern)
 
     def make(texts: pa.Array) -> dict:
-        e, table = encoder(tokenizer_json, pattern), byte_table(tokenizer_json)
+        e, table = encoder(tokenizer_json), byte_table(tokenizer_json)
         n, digests, decoded = [], [], []
         for t in texts.to_pylist():
             ids = e.encode(t)

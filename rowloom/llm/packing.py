@@ -192,13 +192,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, head)), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def pieces_of(docs: DataFrame, tokenizer_json: str, pattern: str, *, capacity: int, end_id: int, key: str, text: str, with_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_json: str, *, capacity: int, end_id: int, key: str, text: str, with_ids: bool) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its input block."""
     narrow = docs.select(key, text_of(text).alias("__text"))
     fields = f"`{key}` {narrow.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, local bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end, block, seen = encoder(tokenizer_json, pattern), little_endian([end_id]), TaskContext.get().partitionId(), {}
+        e, end, block, seen = encoder(tokenizer_json), little_endian([end_id]), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows, ids_out, row_of = [], [], []
             for i, t in enumerate(batch.column("__text").to_pylist()):
@@ -218,7 +218,7 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, pattern: str, *, capacity: i
     return narrow.mapInArrow(run, fields)
 
 
-def pack(docs: DataFrame, tokenizer_json: str, pattern: str, *, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, *, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pack the tokens of every text, and `end_id`, into sequences of at most `capacity` tokens.
 
     Per piece: `key`, piece, start, length, ids_crc32, sequence_id, offset, and
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, tokenizer_json: str, pattern: str, *, capacity: int =
     text is one piece of one token. Repeated rows are packed as often as they
     occur; an empty table gives an empty result; other columns are not read.
     """
-    pieces = materialise(pieces_of(docs, tokenizer_json, pattern, capacity=capacity, end_id=end_id, key=key, text=text, with_ids=with_ids), "pieces")
+    pieces = materialise(pieces_of(docs, tokenizer_json, capacity=capacity, end_id=end_id, key=key, text=text, with_ids=with_ids), "pieces")
     counts = pieces.groupBy("block", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     places = Places.of(plan(histogram, capacity))

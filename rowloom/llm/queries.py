@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, language_id, media, packing, simhash, token_counts
+from rowloom.llm import bpe, ctw, language_id, media, packing, quality, secrets, simhash, token_counts, warc
 from rowloom.llm.common import doc_crc, materialise
 
 CAPACITY, END_ID, TOKEN_LIMIT = 1024, 2, 4096
@@ -22,7 +22,15 @@ def tokenizer_json() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), public_tokenizers.PATTERN, capacity=CAPACITY, end_id=END_ID)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), capacity=CAPACITY, end_id=END_ID)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.archive(pages).select(
+        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "date", "file", "offset", "length", "position"
+    )
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +38,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (doc_crc() % 7 == 2).alias("held_out"), (doc_crc() % 7 != 2).alias("in_training"))
+    return ctw.score(docs, "in_training", carry=("doc_id", "held_out")).drop("in_training")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +56,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.shown(F.col("base_spans")), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is stored as a picture; a page refers to it; the parsed reference finds what the stored picture holds."""
     stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
@@ -56,9 +79,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_context_tree_weighting": op4_context_tree_weighting,
+    "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
 }
