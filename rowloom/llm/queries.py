@@ -91,3 +91,12 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
