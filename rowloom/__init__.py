@@ -1 +1,6 @@
 """rowloom: optimisation models as relational data, on Spark DataFrames."""
+
+from rowloom.api import Model, Result, build, check, evaluate, solve, tidy, write
+from rowloom.sweeps import EachLabel, EachWindow, Sweep, solve_over
+
+__all__ = ["EachLabel", "EachWindow", "Model", "Result", "Sweep", "build", "check", "evaluate", "solve", "solve_over", "tidy", "write"]
