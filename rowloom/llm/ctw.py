@@ -35,11 +35,14 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import materialise, text_of
 
 DEPTH = 5
-CHUNK = 24 << 20
+CHUNK = 10 << 20
 END = 0xFF  # no byte of UTF-8; closes every text
-PART = 4 << 20  # bytes that are sorted at a time
+PART = 2 << 20  # characters that are taken apart and sorted at a time
 DOC_BITS = 16
 
+#: Distinct words and grams that a training task holds before it hands them over.
+HELD_WORDS, HELD_GRAMS = 500_000, 2_500_000
+
 U = np.uint64
 
 
@@ -50,14 +53,14 @@ def tokens_of(text: str) -> list[bytes]:
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(gram, text) of every byte of every text and its end; gram = nearest context byte first, the byte last."""
-    joined = np.frombuffer(b"".join(bytes(DEPTH) + t + bytes([END]) for t in texts), np.uint8).astype(U)
+    run = np.frombuffer(b"".join(bytes(DEPTH) + t + bytes([END]) for t in texts), np.uint8).astype(U)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + DEPTH + 1
     owner = np.repeat(np.arange(len(texts)), size)
-    at = np.flatnonzero(np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size) >= DEPTH)
+    at = np.flatnonzero(np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) >= DEPTH)
     gram = np.zeros(len(at), U)
     for back in range(1, DEPTH + 1):
-        gram = (gram << U(8)) | joined[at - back]
-    return (gram << U(8)) | joined[at], owner[at]
+        gram = (gram << U(8)) | run[at - back]
+    return (gram << U(8)) | run[at], owner[at]
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -71,16 +74,20 @@ def word_bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) % buckets
 
 
-def parts_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in parts of about PART bytes, with the number of the first."""
+def parts_of(texts: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of texts, in parts of about PART characters, with the number of the first text."""
     low, size = 0, 0
     for i, t in enumerate(texts):
-        size += len(t) + DEPTH + 1
+        size += len(t)
         if size >= PART or i - low + 1 >= 1 << DOC_BITS:
-            yield low, texts[low : i + 1]
+            yield low, [tokens_of(t) for t in texts[low : i + 1]]
             low, size = i + 1, 0
     if low < len(texts):
-        yield low, texts[low:]
+        yield low, [tokens_of(t) for t in texts[low:]]
+
+
+def joined(words: list[list[bytes]]) -> list[bytes]:
+    return [b" ".join(w) for w in words]
 
 
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,19 +246,18 @@ def train_blocks(texts: DataFrame, buckets: int) -> DataFrame:
         words: Counter[bytes] = Counter()
         keys, counts = [], []
         for batch in batches:
-            lists = [tokens_of(t) for t in batch.column("__text").to_pylist()]
-            for w in lists:
-                words.update(w)
-            for _, part in parts_of([b" ".join(w) for w in lists]):
-                k, n = np.unique(symbols(part)[0], return_counts=True)
+            for _, part in parts_of(batch.column("__text").to_pylist()):
+                for w in part:
+                    words.update(w)
+                k, n = np.unique(symbols(joined(part))[0], return_counts=True)
                 keys.append(k)
                 counts.append(n)
-            if sum(map(len, keys)) > 4_000_000:
-                k, n = add_up(keys, counts)
-                keys, counts = [k], [n]
-            if len(words) > 1_000_000 or sum(map(len, keys)) > 4_000_000:  # bounded memory: hand over and go on
-                yield _frame([*_blocks(words, *add_up(keys, counts), buckets, 0)])
-                words, keys, counts = Counter(), [], []
+                if sum(map(len, keys)) > HELD_GRAMS:
+                    k, n = add_up(keys, counts)
+                    keys, counts = [k], [n]
+                if len(words) > HELD_WORDS or sum(map(len, keys)) > HELD_GRAMS:  # bounded memory: hand over and go on
+                    yield _frame([*_blocks(words, *add_up(keys, counts), buckets, 0)])
+                    words, keys, counts = Counter(), [], []
         yield _frame([*_blocks(words, *add_up(keys, counts), buckets, 0)])
 
     return texts.select("__text").mapInArrow(run, BLOCK)
@@ -293,12 +299,11 @@ def _requests(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """What a chunk asks of every bucket: its distinct words and grams."""
     words: set[bytes] = set()
     keys: list[np.ndarray] = []
-    lists = [tokens_of(t) for t in pdf["__text"]]
-    for w in lists:
-        words.update(w)
-    for _, part in parts_of([b" ".join(w) for w in lists]):
-        keys.append(np.unique(symbols(part)[0]))
-    gram = np.unique(np.concatenate(keys))
+    for _, part in parts_of(list(pdf["__text"])):
+        for w in part:
+            words.update(w)
+        keys.append(np.unique(symbols(joined(part))[0]))
+    gram = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U)
     rows = [*_blocks(words, gram, None, buckets, int(pdf["chunk"].iloc[0]))]
     return pd.DataFrame([(b, c, w, g) for b, c, w, _, g, _ in rows], columns=["bucket", "chunk", "words", "grams"])
 
@@ -314,7 +319,7 @@ def _answers(asked: pd.DataFrame, model: pd.DataFrame, crown: Crown) -> pd.DataF
     rows = []
     for chunk, words, gram in zip(asked["chunk"], asked["words"], grams, strict=True):
         own = unpack_words(words)
-        rows.append((chunk, words, np.fromiter((counts.get(w, 0) for w in own), np.int64, len(own)).tobytes(), gram.tobytes(), score[np.searchsorted(every, gram)].astype(np.float64).tobytes()))
+        rows.append((chunk, words, np.fromiter((counts.get(w, 0) for w in own), np.int64, len(own)).tobytes(), gram.tobytes(), score[np.searchsorted(every, gram)].astype(np.float32).tobytes()))
     return pd.DataFrame(rows, columns=["chunk", "words", "word_counts", "grams", "scores"])
 
 
@@ -327,25 +332,23 @@ def _scores(docs: pd.DataFrame, answers: pd.DataFrame, train_tokens: int, distin
     count = np.concatenate([np.frombuffer(c, np.int64) for c in answers["word_counts"]] or [np.zeros(0, np.int64)])
     base = np.log10((count + 1) / (train_tokens + distinct + 1))
     gram = np.concatenate([np.frombuffer(g, U) for g in answers["grams"]])
-    score = np.concatenate([np.frombuffer(s, np.float64) for s in answers["scores"]])
+    score = np.concatenate([np.frombuffer(s, np.float32) for s in answers["scores"]])
     order = np.argsort(gram)
     gram, score = gram[order], score[order]
-    lists = [tokens_of(t) for t in docs["__text"]]
     out = docs[carry].reset_index(drop=True)
-    at = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in lists]
-    out["n_words"] = [len(a) for a in at]
-    out["n_known_words"] = [int((count[a] > 0).sum()) for a in at]
-    out["base_words"] = [float(base[a].sum()) for a in at]
-    total, length = np.zeros(len(lists)), np.zeros(len(lists), np.int64)
-    for low, part in parts_of([b" ".join(w) for w in lists]):
-        g, owner = symbols(part)
+    n_words, known, base_words, total, length = (np.zeros(len(out), kind) for kind in (np.int64, np.int64, np.float64, np.float64, np.int64))
+    for low, part in parts_of(list(docs["__text"])):
+        for i, w in enumerate(part, low):
+            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+            n_words[i], known[i], base_words[i] = len(at), (count[at] > 0).sum(), base[at].sum()
+        g, owner = symbols(joined(part))
         both = np.sort((g << U(DOC_BITS)) | owner.astype(U))  # equal grams side by side: one look-up each
         g, owner = both >> U(DOC_BITS), (both & U((1 << DOC_BITS) - 1)).astype(np.int64)
         first = np.r_[True, g[1:] != g[:-1]]
         own = score[np.searchsorted(gram, g[first])]
-        total[low : low + len(part)] += np.bincount(owner, weights=own[np.cumsum(first) - 1], minlength=len(part))
-        length[low : low + len(part)] += np.bincount(owner, minlength=len(part))
-    out["score"], out["n_symbols"] = total, length
+        total[low : low + len(part)] = np.bincount(owner, weights=own[np.cumsum(first) - 1], minlength=len(part))
+        length[low : low + len(part)] = np.bincount(owner, minlength=len(part))
+    out["n_words"], out["n_known_words"], out["base_words"], out["n_symbols"], out["score"] = n_words, known, base_words, length, total
     return out
 
 
