@@ -1,6 +1,301 @@
-"""Queries over the sample tables, one per operator of the modelling engine, with the SQL that checks them."""
+"""Queries over the sample tables, one per operator of the modelling engine, with the SQL that checks them.
+
+The models are built from the tables as they are: nations, customers, suppliers
+and parts are dimensions, months of orders are an ordered one, and relations
+come from the foreign keys. Sums of doubles are rounded on both sides, because
+the order of addition differs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom import api, sweeps
+from rowloom.archive import union_runs
+from rowloom.plans.assembly import Handoff, build, diagnostics
+from rowloom.plans.compiler import Compiler
+from rowloom.plans.spec import program
+from rowloom.functions.formula import parse
+from rowloom.sources import door
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SPEC = {
+    "dimensions": {
+        "nation": {"dtype": "int"},
+        "region": {"dtype": "int"},
+        "customer": {"dtype": "int"},
+        "supplier": {"dtype": "int"},
+        "part": {"dtype": "int"},
+        "brand": {"dtype": "str"},
+        "segment": {"dtype": "str"},
+        "month": {"dtype": "int", "ordered": True},
+        "year": {"dtype": "int"},
+    },
+    "relations": {
+        "cust_nation": {"key": "customer", "values": "nation"},
+        "nation_region": {"key": "nation", "values": "region"},
+        "part_brand": {"key": "part", "values": "brand"},
+        "month_year": {"key": "month", "values": "year"},
+        "supplies": {"columns": ["supplier", "part"]},
+    },
+    "parameters": {
+        "acctbal": {"dims": ["customer"]},
+        "supbal": {"dims": ["supplier"]},
+        "price": {"dims": ["part"]},
+        "size": {"dims": ["part"], "dtype": "int"},
+        "kind": {"dims": ["part"], "dtype": "str"},
+        "sales": {"dims": ["month"]},
+        "orders": {"dims": ["month"]},
+        "lag": {"dims": ["year"], "dtype": "int"},
+        "seg_bal": {"dims": ["segment", "nation"], "missing": "neutral"},
+        "seg_abs": {"dims": ["segment", "nation"], "missing": "absent"},
+        "seg_zero": {"dims": ["segment", "nation"], "missing": 0},
+        "rich": {"dims": ["supplier"], "dtype": "bool"},
+        "region_rate": {"dims": ["region"]},
+    },
+    "variables": {
+        "ship": {"dims": ["supplier", "nation"], "where": "supbal > 0", "bounds": {"lower": 0, "upper": "supbal"}},
+        "use": {"dims": ["supplier"], "domain": "binary"},
+        "flow": {"dims": ["month"], "bounds": {"lower": 0}},
+    },
+    "expressions": {
+        "priced": {"cases": {"large": {"when": "size > 25", "expression": "price * 0.9"}, "small": {"when": "size <= 5", "expression": "price + 1"}}, "otherwise": "5"},
+    },
+    "macros": {"share": {"args": ["x"], "kwargs": ["over"], "template": "x / sum(x, over=over)"}},
+    "conditions": {"big": "size > 40 and price > 950"},
+    "constraints": {
+        "demand": {"dims": ["nation"], "expression": "sum(ship, over=supplier) >= sum(acctbal, over=customer, by=cust_nation[nation]) / 1000"},
+        "capacity": {"dims": ["supplier"], "where": "supbal > 0", "expression": "sum(ship, over=nation) <= supbal * use"},
+        "balance": {"dims": ["month"], "expression": "flow - shift(flow, along=month, offset=1) == sales"},
+    },
+    "objective": {"sense": "minimize", "expression": "sum(ship * (2 + supbal / 1000)) + sum(use * 100)"},
+    "sos": {"one_flow": {"variable": "flow", "along": "month", "type": 1}},
+}
+
+MONTHS = """m AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS month, SUM(o_totalprice) AS v, CAST(COUNT(*) AS DOUBLE) AS n FROM orders GROUP BY 1),
+d AS (SELECT month, v, n, CAST(row_number() OVER (ORDER BY month) - 1 AS BIGINT) AS ord, COUNT(*) OVER () AS size, CAST(month // 12 AS BIGINT) AS year FROM m)"""
+SEGMENTS = "s AS (SELECT c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, SUM(c_acctbal) AS v FROM customer GROUP BY 1, 2 HAVING SUM(c_acctbal) > 0)"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The model's tables from the sample tables; only months are numbered."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "region", "customer", "supplier", "part", "orders", "lineitem")}
+    label = lambda df, c, name: df.select(F.col(c).cast("bigint").alias(name), F.col(c).cast("bigint").alias("ord"))
+    monthly = t["orders"].groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("bigint").alias("month")).agg(F.sum("o_totalprice").alias("sales"), F.count("*").cast("double").alias("orders")).cache()
+    segments = t["customer"].groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.sum("c_acctbal").alias("value")).filter("value > 0").cache()
+    years = monthly.select("month", F.floor(F.col("month") / 12).cast("bigint").alias("year"))
+    return {
+        "nation": label(t["nation"], "n_nationkey", "nation"),
+        "region": label(t["region"], "r_regionkey", "region"),
+        "customer": label(t["customer"], "c_custkey", "customer"),
+        "supplier": label(t["supplier"], "s_suppkey", "supplier"),
+        "part": label(t["part"], "p_partkey", "part"),
+        "brand": t["part"].select(F.col("p_brand").alias("brand")).distinct(),
+        "segment": t["customer"].select(F.col("c_mktsegment").alias("segment")).distinct(),
+        "month": monthly.select("month"),
+        "year": years.select("year").distinct(),
+        "cust_nation": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")),
+        "nation_region": t["nation"].select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")),
+        "part_brand": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")),
+        "month_year": years,
+        "supplies": t["lineitem"].select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).distinct(),
+        "acctbal": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("value")),
+        "supbal": t["supplier"].select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("value")),
+        "price": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("value")),
+        "size": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_size").alias("value")),
+        "kind": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_type").alias("value")),
+        "sales": monthly.select("month", F.col("sales").alias("value")),
+        "orders": monthly.select("month", F.col("orders").alias("value")),
+        "lag": years.select("year", F.pmod(F.col("year"), F.lit(3)).cast("int").alias("value")).distinct(),
+        "seg_bal": segments,
+        "seg_abs": segments,
+        "seg_zero": segments,
+        "rich": t["supplier"].select(F.col("s_suppkey").alias("supplier"), (F.col("s_acctbal") > 0).alias("value")),
+        "region_rate": t["region"].select(F.col("r_regionkey").alias("region"), (F.col("r_regionkey") + 1).cast("double").alias("value")),
+    }
+
+
+def _part(names: set[str]) -> dict:
+    """The specification cut to some declarations and what they stand on."""
+    p = program(SPEC)
+    dims = {d for n in names - {*SPEC["expressions"], *SPEC["conditions"]} for d in (p.parameters[n].dims if n in p.parameters else p.variables[n].dims if n in p.variables else p.relations[n].columns.values() if n in p.relations else (n,))}
+    keep = names | dims
+    sections = {s: {k: v for k, v in SPEC[s].items() if k in keep} for s in ("dimensions", "relations", "parameters", "variables", "expressions", "conditions")}
+    return sections | {"macros": SPEC["macros"]}
+
+
+def _model(spark: SparkSession, sf_dir: str, names: str, constraints: tuple[str, ...] = (), objective: bool = False, sos: bool = False) -> tuple[dict, dict]:
+    spec = _part(set(names.split()))
+    if constraints:
+        spec["constraints"] = {c: SPEC["constraints"][c] for c in constraints}
+    if objective:
+        spec["objective"] = SPEC["objective"]
+    if sos:
+        spec["sos"] = SPEC["sos"]
+    given = sources(spark, sf_dir)
+    return spec, {k: given[k] for s in ("dimensions", "relations", "parameters") for k in spec[s]}
+
+
+def _expression(name: str, uses: str, formula: str, sql: str, digits: int = 4) -> None:
+    """Register the value of a formula; columns are its dimensions and `value`."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec, given = _model(spark, sf_dir, uses)
+        return api.evaluate(spark, spec, given, formula, ordered=False).withColumn("value", F.round("value", digits))
+
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+def _mask(name: str, uses: str, mask: str, sql: str) -> None:
+    """Register the coordinates that a mask admits."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec, given = _model(spark, sf_dir, uses)
+        return Compiler(door.attach(spark, program(spec), given), values={}).admitted(parse(mask))
+
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+def _built(spark: SparkSession, sf_dir: str, names: str, constraints=(), objective=False, sos=False) -> Handoff:
+    spec, given = _model(spark, sf_dir, names, constraints, objective, sos)
+    return build(door.attach(spark, program(spec), given))
+
+
+def _table(name: str, names: str, constraints: tuple[str, ...], read: Callable[[Handoff], DataFrame], sql: str, objective: bool = False, sos: bool = False) -> None:
+    QUERIES[name] = lambda spark, sf_dir: read(_built(spark, sf_dir, names, constraints, objective, sos))
+    ORACLE_SQL[name] = sql
+
+
+# expressions
+
+_expression("q_constant", "nation", "2 * 3.5 + 1", "SELECT 8.0 AS value")
+_expression("q_parameter", "customer acctbal", "acctbal", "SELECT c_custkey AS customer, round(c_acctbal, 4) AS value FROM customer")
+_expression("q_negate_add", "part price size", "-price + size - 1", "SELECT p_partkey AS part, round(-p_retailprice + p_size - 1, 4) AS value FROM part")
+_expression("q_param_product", "region_rate seg_zero nation_region region segment nation", "region_rate * seg_zero", f"WITH {SEGMENTS} SELECT segment, nation, region, round(coalesce(v, 0.0) * rate, 4) AS value FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer) CROSS JOIN (SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation) CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS region, CAST(r_regionkey + 1 AS DOUBLE) AS rate FROM region) LEFT JOIN s USING (segment, nation)", 2)
+_expression("q_sum_over", "seg_bal", "sum(seg_bal, over=segment)", f"WITH {SEGMENTS} SELECT CAST(n_nationkey AS BIGINT) AS nation, round(coalesce(sum(v), 0.0), 2) AS value FROM nation LEFT JOIN s ON nation = n_nationkey GROUP BY 1", 2)
+_expression("q_sum_all", "acctbal", "sum(acctbal)", "SELECT round(sum(c_acctbal), 2) AS value FROM customer", 2)
+_expression("q_sum_by_keyed", "acctbal cust_nation", "sum(acctbal, over=customer, by=cust_nation[nation])", "SELECT CAST(n_nationkey AS BIGINT) AS nation, round(coalesce(sum(c_acctbal), 0.0), 2) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", 2)
+_expression("q_sum_by_bare", "supbal supplies part_brand", "sum(sum(supbal, over=supplier, by=supplies[part]), over=part, by=part_brand[brand])", "WITH r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT p_brand AS brand, round(coalesce(sum(s_acctbal), 0.0), 2) AS value FROM part LEFT JOIN r ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1", 2)
+_expression("q_at_pullback", "region_rate nation_region", "at(region_rate, by=nation_region[region])", "SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(n_regionkey + 1 AS DOUBLE) AS value FROM nation")
+_expression("q_shift_edge", "sales", "shift(sales, along=month, offset=1)", f"WITH {MONTHS} SELECT t.month, round(s.v, 2) AS value FROM d t JOIN d s ON s.ord = t.ord - 1", 2)
+_expression("q_shift_ahead", "sales", "shift(sales, along=month, offset=-2)", f"WITH {MONTHS} SELECT t.month, round(s.v, 2) AS value FROM d t JOIN d s ON s.ord = t.ord + 2", 2)
+_expression("q_shift_wrap", "sales", "shift(sales, along=month, offset=1, edge='wrap')", f"WITH {MONTHS} SELECT t.month, round(s.v, 2) AS value FROM d t JOIN d s ON s.ord = (t.ord - 1 + t.size) % t.size", 2)
+_expression("q_shift_fill", "sales", "shift(sales, along=month, offset=1, edge=7)", f"WITH {MONTHS} SELECT t.month, round(coalesce(s.v, 7.0), 2) AS value FROM d t LEFT JOIN d s ON s.ord = t.ord - 1", 2)
+_expression("q_shift_within", "sales month_year", "shift(sales, along=month, offset=1, edge='wrap', within=month_year[year])", f"WITH {MONTHS}, g AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY month) - 1 AS o, count(*) OVER (PARTITION BY year) AS n_of FROM d) SELECT t.month, round(s.v, 2) AS value FROM g t JOIN g s ON s.year = t.year AND s.o = (t.o - 1 + t.n_of) % t.n_of", 2)
+_expression("q_shift_by_parameter", "sales month_year lag", "shift(sales, along=month, offset=lag, within=month_year[year])", f"WITH {MONTHS}, g AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY month) - 1 AS o FROM d) SELECT t.month, round(s.v, 2) AS value FROM g t JOIN g s ON s.year = t.year AND s.o = t.o - (t.year % 3)", 2)
+_expression("q_sum_back", "sales", "sum_back(sales, along=month, window=3)", f"WITH {MONTHS} SELECT t.month, round(sum(s.v), 2) AS value FROM d t JOIN d s ON s.ord BETWEEN t.ord - 2 AND t.ord GROUP BY 1", 2)
+_expression("q_sum_back_wrap", "sales", "sum_back(sales, along=month, window=4, edge='wrap')", f"WITH {MONTHS} SELECT t.month, round(sum(s.v), 2) AS value FROM d t JOIN d s ON (t.ord - s.ord + t.size) % t.size < 4 GROUP BY 1", 2)
+_expression("q_divide", "sales orders", "sales / orders", f"WITH {MONTHS} SELECT month, round(v / n, 4) AS value FROM d")
+_expression("q_divide_zero_absent", "seg_zero", "1000 / seg_zero", f"WITH {SEGMENTS} SELECT segment, nation, round(1000 / v, 6) AS value FROM s WHERE v <> 0", 6)
+_expression("q_power", "size", "(size / 10) ** 2", "SELECT p_partkey AS part, round((p_size / 10.0) * (p_size / 10.0), 4) AS value FROM part")
+_expression("q_macro_share", "sales", "share(sales, over=month)", f"WITH {MONTHS} SELECT month, round(v / (SELECT sum(v) FROM d), 8) AS value FROM d", 8)
+_expression("q_cases", "price size priced", "priced", "SELECT p_partkey AS part, round(CASE WHEN p_size > 25 THEN p_retailprice * 0.9 WHEN p_size <= 5 THEN p_retailprice + 1 ELSE 5.0 END, 4) AS value FROM part")
+_expression("q_presence", "seg_abs", "seg_abs + 1", f"WITH {SEGMENTS} SELECT segment, nation, round(v + 1, 2) AS value FROM s", 2)
+
+# masks
+
+_mask("q_mask_compare", "acctbal", "acctbal > 5000", "SELECT c_custkey AS customer FROM customer WHERE c_acctbal > 5000")
+_mask("q_mask_text", "kind", "kind == 'MEDIUM'", "SELECT p_partkey AS part FROM part WHERE p_type = 'MEDIUM'")
+_mask("q_mask_defined", "seg_bal", "seg_bal", f"WITH {SEGMENTS} SELECT segment, nation FROM s")
+_mask("q_mask_flag", "rich", "not rich", "SELECT s_suppkey AS supplier FROM supplier WHERE NOT s_acctbal > 0")
+_mask("q_mask_expression", "price size", "price <= 20 * size", "SELECT p_partkey AS part FROM part WHERE p_retailprice <= 20.0 * p_size")
+_mask("q_mask_count", "seg_bal", "count(seg_bal > 60000, over=segment) >= 2", f"WITH {SEGMENTS} SELECT nation FROM s WHERE v > 60000 GROUP BY 1 HAVING count(*) >= 2")
+_mask("q_mask_shift", "sales orders", "shift(orders > 170, along=month, offset=1)", f"WITH {MONTHS} SELECT t.month FROM d t JOIN d s ON s.ord = t.ord - 1 WHERE s.n > 170")
+_mask("q_mask_at", "region_rate nation_region", "at(region_rate >= 3, by=nation_region[region])", "SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation WHERE n_regionkey + 1 >= 3")
+_mask("q_mask_dimension", "part", "part > 100 and not part == 150", "SELECT p_partkey AS part FROM part WHERE p_partkey > 100 AND p_partkey <> 150")
+_mask("q_mask_position", "sales", "position(month) == 0 or position(month) == -1", f"WITH {MONTHS} SELECT month FROM d WHERE ord = 0 OR ord = size - 1")
+_mask("q_mask_position_within", "sales month_year", "position(month, within=month_year[year]) == 0", f"WITH {MONTHS} SELECT min(month) AS month FROM d GROUP BY year")
+_mask("q_mask_relation", "nation_region", "nation_region == 2", "SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation WHERE n_regionkey = 2")
+_mask("q_mask_relation_defined", "supplies", "supplies", "SELECT DISTINCT l_suppkey AS supplier, l_partkey AS part FROM lineitem")
+_mask("q_mask_condition", "size price big", "big or size == 1", "SELECT p_partkey AS part FROM part WHERE (p_size > 40 AND p_retailprice > 950) OR p_size = 1")
+
+# the tables of a model: suppliers ship to nations, and a chain of months
+
+SHIP = "ship use supbal acctbal cust_nation"
+SHIPPED = "x AS (SELECT s_suppkey, n_nationkey, s_acctbal, CAST(row_number() OVER (ORDER BY s_suppkey, n_nationkey) - 1 AS BIGINT) AS col FROM supplier CROSS JOIN nation WHERE s_acctbal > 0), u AS (SELECT s_suppkey, s_acctbal, CAST((SELECT count(*) FROM x) + row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS col FROM supplier), k AS (SELECT s_suppkey, CAST((SELECT count(*) FROM nation) + row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS \"row\" FROM supplier WHERE s_acctbal > 0)"
+BOTH = ("demand", "capacity")
+
+_table("q_labels_masked", SHIP, (), lambda h: h.variables["ship"].select("supplier", "nation", F.col("var").alias("col")), f"WITH {SHIPPED} SELECT s_suppkey AS supplier, CAST(n_nationkey AS BIGINT) AS nation, col FROM x")
+_table("q_labels_dense", "use supbal", (), lambda h: h.variables["use"].select("supplier", F.col("var").alias("col")), "SELECT s_suppkey AS supplier, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS col FROM supplier")
+_table("q_cols", SHIP, (), lambda h: h.cols.withColumn("ub", F.round("ub", 4)), f"WITH {SHIPPED} SELECT col, 0.0 AS lb, round(s_acctbal, 4) AS ub, 'continuous' AS vtype FROM x UNION ALL SELECT col, 0.0, 1.0, 'binary' FROM u")
+_table("q_rows", SHIP, BOTH, lambda h: h.rows.withColumn("rhs", F.round("rhs", 4)), f"WITH {SHIPPED} SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS \"row\", '>=' AS sense, round(coalesce(b, 0.0), 4) AS rhs FROM nation LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) / 1000 AS b FROM customer GROUP BY 1) ON c_nationkey = n_nationkey UNION ALL SELECT \"row\", '<=', 0.0 FROM k")
+_table("q_matrix", SHIP, BOTH, lambda h: h.matrix.withColumn("coeff", F.round("coeff", 4)), f"WITH {SHIPPED}, r AS (SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS \"row\" FROM nation) SELECT r.\"row\", x.col, 1.0::DOUBLE AS coeff FROM x JOIN r USING (n_nationkey) UNION ALL SELECT k.\"row\", x.col, 1.0 FROM x JOIN k USING (s_suppkey) UNION ALL SELECT k.\"row\", u.col, round(-u.s_acctbal, 4) FROM u JOIN k USING (s_suppkey)")
+_table("q_obj", SHIP, BOTH, lambda h: h.obj.withColumn("coeff", F.round("coeff", 8)), f"WITH {SHIPPED} SELECT col, round(2 + s_acctbal / 1000, 8) AS coeff FROM x UNION ALL SELECT col, 100.0 FROM u", objective=True)
+_table("q_shift_matrix", "flow sales", ("balance",), lambda h: h.matrix, f"WITH {MONTHS} SELECT CAST(t.ord - 1 AS BIGINT) AS \"row\", CAST(t.ord AS BIGINT) AS col, 1.0::DOUBLE AS coeff FROM d t WHERE t.ord > 0 UNION ALL SELECT t.ord - 1, t.ord - 1, -1.0 FROM d t WHERE t.ord > 0")
+_table("q_sos", "flow sales", ("balance",), lambda h: h.sos, f"WITH {MONTHS} SELECT CAST(0 AS BIGINT) AS \"set\", CAST(1 AS INTEGER) AS type, ord AS col, ord + 1 AS weight FROM d", sos=True)
+
+
+def _quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, given = _model(spark, sf_dir, "flow sales")
+    spec["objective"] = {"sense": "minimize", "expression": "sum(flow * flow * 2) - sum(flow * shift(flow, along=month, offset=1))"}
+    return build(door.attach(spark, program(spec), given)).quad
+
+
+QUERIES["q_quad_pairs"] = _quadratic
+ORACLE_SQL["q_quad_pairs"] = f"WITH {MONTHS} SELECT ord AS col_l, ord AS col_r, 2.0::DOUBLE AS coeff FROM d UNION ALL SELECT ord - 1, ord, -1.0 FROM d WHERE ord > 0"
+
+
+def _slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slack of every row at a made-up solution: column c has the value c mod 7."""
+    h = _built(spark, sf_dir, SHIP, BOTH)
+    activity = h.matrix.groupBy("row").agg(F.sum(F.col("coeff") * F.pmod("col", F.lit(7))).alias("v"))
+    return api.slack_of(h.rows, activity).select("row", F.round("v", 2).alias("slack"))
+
+
+def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduced costs at made-up duals: row r has the dual r mod 5."""
+    h = _built(spark, sf_dir, SHIP, BOTH, objective=True)
+    y = h.rows.select("row", F.pmod("row", F.lit(5)).cast("double").alias("v"))
+    return api.reduced_costs(h.cols, h.obj, h.matrix, y).select("col", F.round("v", 2).alias("reduced_cost"))
+
+
+MODEL_SQL = {"rows": ORACLE_SQL["q_rows"], "matrix": ORACLE_SQL["q_matrix"], "cols": ORACLE_SQL["q_cols"], "obj": ORACLE_SQL["q_obj"]}
+QUERIES["q_slack"] = _slack
+ORACLE_SQL["q_slack"] = f"""SELECT r."row", round(CASE WHEN sense = '>=' THEN a.v - rhs ELSE rhs - a.v END, 2) AS slack FROM ({MODEL_SQL['rows']}) r JOIN (SELECT "row", sum(coeff * (col % 7)) AS v FROM ({MODEL_SQL['matrix']}) GROUP BY 1) a USING ("row")"""
+QUERIES["q_reduced_cost"] = _reduced
+ORACLE_SQL["q_reduced_cost"] = f"""SELECT c.col, round(coalesce(o.coeff, 0.0) - coalesce(p.v, 0.0), 2) AS reduced_cost FROM ({MODEL_SQL['cols']}) c LEFT JOIN ({MODEL_SQL['obj']}) o USING (col) LEFT JOIN (SELECT col, sum(coeff * ("row" % 5)) AS v FROM ({MODEL_SQL['matrix']}) GROUP BY 1) p USING (col)"""
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnostics(_built(spark, sf_dir, SHIP, BOTH, objective=True))
+    return spark.createDataFrame([(k, round(v[0], 2), round(v[1], 2)) for k, v in found.items() if v], "part string, least double, greatest double")
+
+
+QUERIES["q_diagnostics_ranges"] = _ranges
+ORACLE_SQL["q_diagnostics_ranges"] = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, round(min(abs({c})), 2) AS least, round(max(abs({c})), 2) AS greatest FROM ({MODEL_SQL[t]}) WHERE {c} <> 0" for part, t, c in (("matrix", "matrix", "coeff"), ("objective", "obj", "coeff"), ("rhs", "rows", "rhs"), ("bounds", "cols", "ub"))
+)
+
+
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, given = _model(spark, sf_dir, "sales")
+    return door.attach(spark, program(spec), given).dimensions["month"]
+
+
+QUERIES["q_window_slices"] = lambda spark, sf_dir: sweeps.windows(_months(spark, sf_dir), "month", 12, 3)
+ORACLE_SQL["q_window_slices"] = f"WITH {MONTHS} SELECT CAST(w.w AS BIGINT) AS \"window\", month, ord, ord // 12 = w.w AS owned FROM d JOIN (SELECT DISTINCT ord // 12 AS w FROM d) w ON ord >= w.w * 12 AND ord < w.w * 12 + 15"
+
+
+def _stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's answer for a month is the month's place in the window; the owner's counts."""
+    seen = sweeps.windows(_months(spark, sf_dir), "month", 12, 3)
+    answers = seen.select("window", "month", (F.col("ord") - 12 * F.col("window")).alias("value"))
+    return sweeps.stitched(answers, seen, "month")
+
+
+QUERIES["q_stitch"] = _stitch
+ORACLE_SQL["q_stitch"] = f"WITH {MONTHS} SELECT CAST(ord // 12 AS BIGINT) AS \"window\", month, ord % 12 AS value FROM d"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    return union_runs({"a": nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), "b": region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))})
+
+
+QUERIES["q_warehouse_union"] = _runs
+ORACLE_SQL["q_warehouse_union"] = "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region, 'a' AS run_id FROM nation UNION ALL SELECT r_regionkey, r_name, NULL, 'b' FROM region"
