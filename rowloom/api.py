@@ -36,7 +36,7 @@ def _ordered(a: door.Attached, frame: DataFrame, dims: tuple[str, ...]) -> DataF
     out = frame
     for d in dims:
         out = out.join(a.dimension(d).select(d, F.col("ord").alias(f"__o_{d}")), d)
-    return out.orderBy(*[f"__o_{d}" for d in dims]).drop(*[f"__o_{d}" for d in dims]) if dims else out
+    return out.orderBy(*[f"__o_{d}" for d in dims]).select(*frame.columns) if dims else out
 
 
 def evaluate(spark: SparkSession, spec, sources: dict, expression: str, *, ordered: bool = True) -> DataFrame:

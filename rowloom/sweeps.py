@@ -117,6 +117,10 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
     for n, s in sources.items():
         if frames[n] is None and not isinstance(s, (int, float, str, bool)):
             columns = [n] if n in p.dimensions else [*p.relations[n].columns] if n in p.relations else [*p.parameters[n].dims, "value"]
+            if n in p.parameters and isinstance(s, (list, tuple)) and list(p.parameters[n].dims) == [axis.dim]:  # values by position
+                labels = [r[0] for r in door._index(spark, p, axis.dim, sources[axis.dim]).orderBy("ord").select(axis.dim).collect()]
+                frames[n] = spark.createDataFrame([*zip(labels, s, strict=True)], [axis.dim, "value"])
+                continue
             try:
                 frames[n] = door._frame(spark, s if not (n in p.dimensions and isinstance(s, (list, tuple, range))) else {n: list(s)}, columns)
             except DataError:
