@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from rowloom.llm.common import text_of
+from rowloom.llm.common import bounded_batches, text_of
 
 #: Latin letters and number signs, as the library's pattern classes them.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
@@ -173,7 +173,7 @@ def decode_bytes(ids: bytes, table: list[bytes]) -> bytes:
 
 def _with_arrow(docs: DataFrame, keep: list[str], column: str, make, fields: str) -> DataFrame:
     """`docs[keep]` and what `make(texts)` gives for each Arrow batch of texts."""
-    narrow = docs.select(*keep, text_of(column).alias("__text"))
+    narrow = bounded_batches(docs).select(*keep, text_of(column).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text"), fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, tokenizer_json: str, *, keep: tuple[str, ...] = ("do
 
 def decode(encoded: DataFrame, tokenizer_json: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """`keep`, and `decoded` (binary) of every row's ids; null ids give no bytes."""
-    narrow = encoded.select(*keep, F.coalesce(ids, F.lit(b"")).alias("__ids"))
+    narrow = bounded_batches(encoded).select(*keep, F.coalesce(ids, F.lit(b"")).alias("__ids"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__ids"), "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows and bytes of an Arrow batch of texts, at most.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering its session's Arrow batches to rows and bytes that a Python worker can hold several times over."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import materialise, text_of
+from rowloom.llm.common import bounded_batches, materialise, text_of
 
 DEPTH = 5
 CHUNK = 10 << 20
@@ -363,7 +363,7 @@ def score(docs: DataFrame, in_training: str, *, carry: tuple[str, ...] = ("doc_i
     """
     spark = docs.sparkSession
     carried = [*dict.fromkeys([*carry, in_training])]
-    texts = docs.select(*carried, text_of(text).alias("__text"))
+    texts = bounded_batches(docs).select(*carried, text_of(text).alias("__text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col(in_training), 1)), F.lit(0))).first()
     chunks = max(1, math.ceil(size[0] / CHUNK))
     buckets = max(8, chunks)

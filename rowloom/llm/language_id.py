@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import text_of
+from rowloom.llm.common import bounded_batches, text_of
 
 ORDER = 5
 ALPHABET = 1024  # size of the uniform distribution below the unigrams
@@ -227,7 +227,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def _scored(docs: DataFrame, shared, keep: list[str], text: str) -> DataFrame:
     """`keep`, the best language, its cross-entropy, the confidence and the symbols."""
-    narrow = docs.select(*keep, text_of(text).alias("__text"))
+    narrow = bounded_batches(docs).select(*keep, text_of(text).alias("__text"))
     schema = ", ".join([*(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, cross_entropy double, score double, n_symbols bigint"])
 
     token = uuid.uuid4().hex  # a reused worker keeps its memo for the same models only
@@ -288,7 +288,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     shared = spark.sparkContext.broadcast(models_of(counts))
     found = _scored(sample.filter("kept"), shared, ["lang"], "text").filter(f"lang_pred = lang and n_symbols >= {LEAST_SYMBOLS}")
     spread = found.groupBy("lang").agg(F.avg("cross_entropy").alias("m"), F.coalesce(F.stddev("cross_entropy"), F.lit(0.0)).alias("s"), F.count("*").alias("n")).collect()
-    return shared, {r["lang"]: r["m"] + DEVIATIONS * max(r["s"], 0.05 * r["m"]) for r in spread if r["n"] >= 10}
+    return shared, {r["lang"]: r["m"] + DEVIATIONS * max(r["s"], 0.05 * r["m"]) for r in spread if r["n"] >= 5}
 
 
 def identify(docs: DataFrame, fitted, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

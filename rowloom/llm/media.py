@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import skewed_lookup, text_of
+from rowloom.llm.common import bounded_batches, skewed_lookup, text_of
 
 PAD, WIDTH = 255, 576
 LEVEL = 3  # of deflate
@@ -111,7 +111,7 @@ def sequence_of(page: str | None) -> list[dict]:
 
 def parse(pages: DataFrame, *, key: str = "page_id", column: str = "html") -> DataFrame:
     """`key` and `items`, the ordered text and media-reference structs of every page. Repeated rows stay."""
-    narrow = pages.select(key, text_of(column).alias("__html"))
+    narrow = bounded_batches(pages).select(key, text_of(column).alias("__html"))
     kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "src", "caption"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def page_for(digest: str, text: str) -> str:
 
 def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row `key`, n_bytes, `page` (HTML that refers to the payload by digest) and `stored`, the picture."""
-    narrow = docs.select(key, text_of(text).alias("__text"))
+    narrow = bounded_batches(docs).select(key, text_of(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +209,7 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
 def features(media: DataFrame, *, keep: tuple[str, ...] = (), stored: str = "stored") -> DataFrame:
     """`keep`, and of every stored picture: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    narrow = media.select(*keep, F.col(stored).alias("__stored"))
+    narrow = bounded_batches(media).select(*keep, F.col(stored).alias("__stored"))
     fields = [*(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)]
     fields.append("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 

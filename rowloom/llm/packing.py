@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.bpe import encoder, little_endian
-from rowloom.llm.common import materialise, text_of
+from rowloom.llm.common import bounded_batches, materialise, text_of
 
 #: Share of a length's count that one step covers, steps of one solution, and solutions of what is left.
 STEP, STEPS, ROUNDS = 0.5, 700, 2
@@ -194,7 +194,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces_of(docs: DataFrame, tokenizer_json: str, *, capacity: int, end_id: int, key: str, text: str, with_ids: bool) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its input block."""
-    narrow = docs.select(key, text_of(text).alias("__text"))
+    narrow = bounded_batches(docs).select(key, text_of(text).alias("__text"))
     fields = f"`{key}` {narrow.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, local bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import materialise, text_of
+from rowloom.llm.common import bounded_batches, materialise, text_of
 from rowloom.llm.components import components
 
 BITS, PARTS, WIDTH = 64, 4, 16
@@ -54,7 +54,7 @@ def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and `fp`, the fingerprint as a signed bigint, of every row; a null text counts as empty."""
-    narrow = docs.select(key, text_of(text).alias("__text"))
+    narrow = bounded_batches(docs).select(key, text_of(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from rowloom.llm.common import text_of
+from rowloom.llm.common import bounded_batches, text_of
 
 MARK = "▁"  # stands for a space in pieces
 MEMO_ENTRIES = 600_000
@@ -177,7 +177,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
     prefix. A null or empty text has no tokens and one prefix. Repeated rows
     stay; other columns are not read.
     """
-    narrow = docs.select(key, text_of(text).alias("__text"))
+    narrow = bounded_batches(docs).select(key, text_of(text).alias("__text"))
     fields = f"`{key}` {narrow.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
     fields += "".join(f", fits_{b} bigint" for b in budgets) + ", prefix_tokens array<int>" * prefixes
 
