@@ -36,6 +36,9 @@ PARTS = {
 }
 KINDS = [*BASE, *PARTS]
 SCOPE = 256
+#: What every identifier, weak or not, begins with.
+IDENTIFIER = "AKIA"
+LINKED = "array<struct<start:bigint,kind:string,end:bigint>>"
 
 
 def _spans(text: Column, matches: Column, pattern: str, wanted: Column) -> Column:
@@ -66,19 +69,18 @@ def _of_kind(kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def parts_of(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """`docs` with one column of (start, end) arrays per kind, __<kind>, and __text."""
-    out = docs.withColumn("__text", text_of(text))
-    t, none = F.col("__text"), F.array().cast("array<struct<start:bigint,end:bigint>>")
-    found = {f"__m_{k}": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, (p, *_) in (BASE | PARTS).items()}
+def parts_of(docs: DataFrame, kinds: dict, *, text: str = "text") -> DataFrame:
+    """`docs` with one column of (start, end) arrays per kind, __<kind>."""
+    t, none = text_of(text), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    found = {f"__m_{k}": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, (p, *_) in kinds.items()}
     found["__v_assign"] = F.regexp_extract_all(t, F.lit(BASE["assign"][0]), F.lit(2))
-    out = out.withColumns(found)
-    spans = {}
-    for kind, (pattern, group, least) in BASE.items():
-        judged = F.col("__v_assign" if group else f"__m_{kind}")
-        spans[kind] = _spans(t, F.col(f"__m_{kind}"), pattern, F.transform(judged, _long_enough(least)))
-    for kind, (pattern, least, most) in PARTS.items():
-        spans[kind] = _spans(t, F.col(f"__m_{kind}"), pattern, F.transform(F.col(f"__m_{kind}"), _fits(kind, least, most)))
+    out, spans = docs.withColumns(found), {}
+    for kind, (pattern, *limits) in kinds.items():
+        if kind in BASE:
+            wanted = F.transform(F.col("__v_assign" if limits[0] else f"__m_{kind}"), _long_enough(limits[1]))
+        else:
+            wanted = F.transform(F.col(f"__m_{kind}"), _fits(kind, *limits))
+        spans[kind] = _spans(t, F.col(f"__m_{kind}"), pattern, wanted)
     return out.withColumns({f"__{k}": F.when(F.size(f"__m_{k}") > 0, s).otherwise(none) for k, s in spans.items()}).drop(*found)
 
 
@@ -117,18 +119,17 @@ def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "t
 
     `spans` holds the base spans and the confirmed candidates that no base span
     covers. A null or empty text has none. Repeated rows stay, each with its
-    own spans; an empty table gives an empty result.
+    own spans; an empty table gives an empty result. Texts without an identifier
+    stay in their rows; only those with one are written down and joined.
     """
-    given = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], text_of(text).alias("k_text"))
-    found = parts_of(given, text="k_text").drop("__text", *["k_text"] * (text not in keep))
+    given = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(text).alias("k_text"))
+    carried = [c for c in given.columns if c != "k_text"]
+    named = F.contains(text_of("k_text"), F.lit(IDENTIFIER))  # nothing links in a text without an identifier
+    alone = parts_of(given.filter(~named), BASE, text="k_text").select(*carried, *[f"__{k}" for k in BASE]).withColumn("linked", F.array().cast(LINKED))
+    found = parts_of(given.filter(named), BASE | PARTS, text="k_text").drop("k_text")
     found = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "parts")  # numbers are fixed once written
-    weak = F.size("__weak_id") + F.size("__weak_key") + F.size("__weak_hex")
-    others = F.size("__access") + F.size("__weak_id")  # without an identifier nothing links
-    open_ = (weak > 0) & (others > 0)
-    candidates = found.filter(open_)
-    none = F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>")
-    joined = candidates.join(link(candidates.select("rid", *[f"__{k}" for k in KINDS])), "rid", "left").withColumn("linked", F.coalesce("linked", none))
-    both = joined.unionByName(found.filter(~open_).withColumn("linked", none))
+    joined = found.join(link(found.select("rid", *[f"__{k}" for k in KINDS])), "rid", "left")
+    both = alone.unionByName(joined.select(*carried, *[f"__{k}" for k in BASE], F.coalesce("linked", F.array().cast(LINKED)).alias("linked")))
     base = F.concat(*[F.transform(f"__{k}", _of_kind(k)) for k in BASE])
     free = F.filter("linked", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     listed = both.withColumn("__base", base).withColumns({"base_spans": _listed(F.col("__base")), "spans": _listed(F.concat("__base", free))})

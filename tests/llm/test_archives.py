@@ -55,7 +55,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, text("en" if i % 3 else "de", 120), "en" if i % 3 else "de", f"s{i % 2}", 0) for i in range(90)]
     rows += [(200 + i, rows[i][1], rows[i][2], "s0", 0) for i in range(10)]  # exact copies
     rows += [(300 + i, f"%%% {i} ### " * 40, "en", "s0", 0) for i in range(5)]
-    rows += [(400, rows[1][1] + " password=hunter2hunter2", "en", "s1", 0), (401, None, None, None, None), (402, "", "en", "s", 0)]
+    rows += [(400, text("en", 120) + " password=hunter2hunter2", "en", "s1", 0), (401, None, None, None, None), (402, "", "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(301, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
@@ -71,7 +71,7 @@ def test_pipeline(spark, tmp_path):
     assert ids(kept[0]) == {*range(90), *range(200, 210), 400} and ids(kept[1]) == ids(kept[0])
     assert ids(kept[2]) == {*range(90), 400}
     safe = {r["doc_id"]: r["text"] for r in kept[3].collect()}
-    assert safe[400] == rows[1][1] + " [SECRET]" and safe[5] == rows[5][1]
+    assert safe[400].endswith(" [SECRET]") and "hunter2" not in safe[400] and safe[5] == rows[5][1]
     check_packing([*safe.items()], kept[4].collect(), 1024, Tokenizer.from_str(tokenizer_json()))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
     assert quality.BUCKETS == 1 << 13
