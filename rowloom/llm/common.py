@@ -71,15 +71,11 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, tota
     values = [c for c in table.columns if c not in (key, weight)]
     is_hot = F.col(weight) * F.lit(share) >= F.lit(max(total, 1))
     hot = table.filter(is_hot).select(F.col(key).alias("__hot_key"), F.struct(*values).alias("__hot"))
-    cold = table.filter(~is_hot).select(F.col(key).alias("__cold_key"), F.struct(*values).alias("__cold"))
+    cold = table.filter(~is_hot).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("__key"), F.struct(*values).alias("__cold"))
     marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot_key")) & F.col(key).isNotNull(), "left")
     # a hot or null row must not meet the others at one key: it gets a key of its own that finds nothing
-    plain = F.when(F.col("__hot_key").isNull(), F.col(key))
-    spread = F.when(plain.isNull(), F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map")])).otherwise(F.lit(0))
-    joined = marked.withColumn("__plain", plain).withColumn("__spread", spread).join(
-        cold.withColumn("__zero", F.lit(0).cast("long")),
-        (F.col("__plain") == F.col("__cold_key")) & (F.col("__spread") == F.col("__zero")),
-        "left",
-    )
+    own = F.concat(F.lit("s"), F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map")]).cast("string"))
+    plain = F.when(F.col("__hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(own)
+    joined = marked.withColumn("__key", plain).join(cold, "__key", "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[v].alias(v) for v in values])
