@@ -28,9 +28,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    return warc.archive(pages).select(
-        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "date", "file", "offset", "length", "position"
-    )
+    return warc.archive(pages).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +88,38 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_KINDS = ", ".join(
+    f"({_QUOTED(k)}, {i + 1}, {_QUOTED(p)}, {group if k in secrets.BASE else 0}, {low}, {high})"
+    for i, (k, p, group, low, high) in enumerate([(k, p, g, n, 1 << 30) for k, (p, g, n) in secrets.BASE.items()] + [(k, p, 0, low, high) for k, (p, low, high) in secrets.PARTS.items()])
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+    """,
+    "op8_secret_scan": f"""
+        WITH k(kind, rank, pattern, grp, low, high) AS (VALUES {_KINDS}),
+        t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        a AS (SELECT doc_id, kind, rank, low, high, regexp_extract_all(text, pattern, 0) AS ms, regexp_extract_all(text, pattern, CASE WHEN grp = 2 THEN 2 ELSE 0 END) AS vs, string_split_regex(text, pattern) AS sp FROM t, k WHERE regexp_matches(text, pattern)),
+        m AS (SELECT doc_id, kind, rank, low, high, generate_subscripts(ms, 1) AS i, unnest(ms) AS match, unnest(vs) AS val, unnest(list_slice(sp, 1, len(ms))) AS gap FROM a),
+        placed AS (SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM m),
+        s AS (SELECT doc_id, kind, rank, e - length(match) AS s, e FROM placed WHERE length(val) BETWEEN low AND high AND (kind <> 'weak_key' OR (regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]')))),
+        w AS (
+            SELECT x.doc_id, x.kind, x.rank, x.s, x.e FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s - {secrets.SCOPE} AND y.s < x.e + {secrets.SCOPE}
+            WHERE x.kind LIKE 'weak%' GROUP BY ALL
+            HAVING CASE WHEN x.kind = 'weak_id' THEN bool_or(y.kind IN ('weak_key', 'weak_hex', 'hex', 'assign')) AND bool_or(y.kind = 'endpoint') ELSE bool_or(y.kind IN ('access', 'weak_id')) END
+        ),
+        base AS (SELECT * FROM s WHERE rank <= {len(secrets.BASE)}),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+        shown AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= {len(secrets.BASE)}) AS b,
+            count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM every GROUP BY 1)
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN shown USING (doc_id)
+    """,
+}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
