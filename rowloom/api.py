@@ -206,6 +206,19 @@ class Model:
             named = named.unionByName(p)
         return entries.join(named, "col").select("row", "variable", "coordinate", "coeff", "sense", "rhs").orderBy("row", "col")
 
+    def infeasible_subsystem(self) -> DataFrame:
+        """(constraint, coordinate, row): rows that can't hold together, and of which none can be spared."""
+        wanted = self.spark.createDataFrame([(r,) for r in solver.infeasible_rows(self.handoff)], "row bigint")
+        out = None
+        for name, frame in self.handoff.constraints.items():
+            dims = self.program.constraints[name].dims
+            where = F.concat_ws(", ", *[F.concat(F.lit(f"{d}="), F.col(d).cast("string")) for d in dims]) if dims else F.lit("")
+            part = frame.join(F.broadcast(wanted), "row").select(F.lit(name).alias("constraint"), where.alias("coordinate"), "row")
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            raise NoSolutionError("the model has no rows")
+        return out.orderBy("row")
+
     def close(self) -> None:
         """Let go of the label tables that the build kept."""
         for frame in [*getattr(self, "handoff", Handoff(None, "")).variables.values(), *getattr(self, "handoff", Handoff(None, "")).constraints.values()]:

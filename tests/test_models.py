@@ -50,6 +50,12 @@ def test_update(spark):
         model.solve().primal("p")
 
 
+def test_infeasible_subsystem(spark):
+    model = rowloom.build(spark, DISPATCH, DATA | {"load": [1000.0, 20.0]})
+    assert [(r["constraint"], r["coordinate"]) for r in model.infeasible_subsystem().collect()] == [("balance", "t=0")]
+    assert rowloom.build(spark, DISPATCH, DATA).infeasible_subsystem().count() == 0
+
+
 def test_text(spark, solved, tmp_path):
     model, _ = solved
     lp = (tmp_path / "m.lp").name and open(model.write(tmp_path / "m.lp")).read()
