@@ -44,6 +44,7 @@ DOC_BITS = 16
 HELD_WORDS, HELD_GRAMS = 500_000, 2_500_000
 
 U = np.uint64
+PAD, CLOSE = bytes(DEPTH), bytes([END])
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -52,15 +53,21 @@ def tokens_of(text: str) -> list[bytes]:
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, text) of every byte of every text and its end; gram = nearest context byte first, the byte last."""
-    run = np.frombuffer(b"".join(bytes(DEPTH) + t + bytes([END]) for t in texts), np.uint8).astype(U)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + DEPTH + 1
-    owner = np.repeat(np.arange(len(texts)), size)
-    at = np.flatnonzero(np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) >= DEPTH)
-    gram = np.zeros(len(at), U)
-    for back in range(1, DEPTH + 1):
-        gram = (gram << U(8)) | run[at - back]
-    return (gram << U(8)) | run[at], owner[at]
+    """Grams of every byte of every text and its end, and how many each text has; a gram is the nearest context byte first, the byte last."""
+    run = np.frombuffer(b"".join(PAD + t + CLOSE for t in texts), np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    n = len(run) - DEPTH
+    gram = np.zeros(n, U)
+    for back in range(1, DEPTH + 1):  # whole slices of the run, text borders included
+        gram <<= U(8)
+        gram |= run[DEPTH - back : DEPTH - back + n]
+    gram <<= U(8)
+    gram |= run[DEPTH:]
+    inside = np.ones(n, bool)  # a gram that ends in the padding of a later text is none
+    later = np.cumsum(size + DEPTH)[:-1] - DEPTH
+    for k in range(DEPTH):
+        inside[later + k] = False
+    return gram[inside], size
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -219,9 +226,9 @@ BLOCK = "bucket bigint, chunk bigint, words binary, word_counts binary, grams bi
 
 
 def _blocks(words: Counter[bytes] | set[bytes], gram: np.ndarray, count: np.ndarray | None, buckets: int, chunk: int) -> Iterator[tuple]:
-    """One block per bucket that has anything, words in the order of their bytes and grams sorted."""
+    """One block per bucket that has anything; grams are sorted."""
     of_word: dict[int, list[bytes]] = {}
-    for w in sorted(words):
+    for w in words:
         of_word.setdefault(word_bucket(w, buckets), []).append(w)
     of_gram = bucket_of(gram, buckets)
     order = np.argsort(of_gram, kind="stable")
@@ -341,13 +348,16 @@ def _scores(docs: pd.DataFrame, answers: pd.DataFrame, train_tokens: int, distin
         for i, w in enumerate(part, low):
             at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
             n_words[i], known[i], base_words[i] = len(at), (count[at] > 0).sum(), base[at].sum()
-        g, owner = symbols(joined(part))
-        both = np.sort((g << U(DOC_BITS)) | owner.astype(U))  # equal grams side by side: one look-up each
+        g, size = symbols(joined(part))
+        g <<= U(DOC_BITS)
+        g |= np.repeat(np.arange(len(part), dtype=U), size)
+        g.sort()  # equal grams side by side: one look-up each
+        both = g
         g, owner = both >> U(DOC_BITS), (both & U((1 << DOC_BITS) - 1)).astype(np.int64)
         first = np.r_[True, g[1:] != g[:-1]]
         own = score[np.searchsorted(gram, g[first])]
         total[low : low + len(part)] = np.bincount(owner, weights=own[np.cumsum(first) - 1], minlength=len(part))
-        length[low : low + len(part)] = np.bincount(owner, minlength=len(part))
+        length[low : low + len(part)] = size
     out["n_words"], out["n_known_words"], out["base_words"], out["n_symbols"], out["score"] = n_words, known, base_words, length, total
     return out
 
