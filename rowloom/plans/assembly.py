@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.errors import DataError
@@ -209,6 +209,8 @@ def build(attached: Attached) -> Handoff:
 def check_assumptions(a: Attached) -> None:
     """Every assumption holds wherever its own mask lets it be asked."""
     c = Compiler(a)
+    for curve in a.program.curves:
+        check_curve(a, *curve)
     for name, (holds, where) in a.program.assumptions.items():
         dims = a.program.ordered((*a.program.dims(holds), *(a.program.dims(where) if where is not None else ())))
         asked = c.masked(dims, where)
@@ -217,6 +219,22 @@ def check_assumptions(a: Attached) -> None:
             raise DataError(f"assumption {name} fails" + (f" at {found[0].asDict()}" if dims else ""))
 
 
+def check_curve(a: Attached, name: str, over: str, x: str, y: str, sense: str) -> None:
+    """The slopes of a curve without binaries must not fall; for <= not rise."""
+    if x not in a.parameters or y not in a.parameters:
+        return
+    xs, ys = a.program.parameters[x].dims, a.program.parameters[y].dims
+    points = a.parameters[x].withColumnRenamed("value", "__x").join(a.parameters[y].withColumnRenamed("value", "__y"), [d for d in xs if d in ys])
+    lines = [d for d in points.columns if d not in (over, "__x", "__y")]
+    w = Window.partitionBy(*lines).orderBy("ord")
+    slope = F.try_divide(F.col("__y") - F.lag("__y").over(w), F.col("__x") - F.lag("__x").over(w))
+    sloped = points.join(a.dimension(over), over).withColumn("__s", slope)
+    turn = (F.col("__s") - F.lag("__s").over(w)) * (-1 if sense == "<=" else 1)
+    found = sloped.withColumn("__turn", turn).filter(F.col("__turn") < -ROUNDING).limit(1).select(*lines, over).collect()
+    if found:
+        raise DataError(f"piecewise {name}: the curve is not {'concave' if sense == '<=' else 'convex'} at {found[0].asDict()}")
+
+
 def diagnostics(h: Handoff) -> dict[str, tuple[float, float] | None]:
     """Least and greatest size of the numbers other than zero in each table."""
     def spread(df: DataFrame, column: str):

@@ -90,7 +90,7 @@ class Program:
     sos: dict[str, Sos] = field(default_factory=dict)
     sense: str = "minimize"
     objective: object = None
-    curves: list[tuple] = field(default_factory=list)  # (name, over, x, y) that must be convex
+    curves: list[tuple] = field(default_factory=list)  # (name, over, x, y, sense): convex, or concave for <=
 
     # dimensions of a tree, in the order of declaration
 
@@ -287,7 +287,7 @@ def _piecewise(spec: dict, p: Program) -> dict:
             ahead = lambda t: f"shift({t}, along={over}, offset=-1)"
             step = f"(({ahead(y)} - {y}) / ({ahead(x)} - {x}))"
             spec["constraints"][f"{name}_above"] = {"dims": [*dims, over], "where": f"not position({over}) == -1", "expression": f"({f}) - ({e}) * {step} {(sense or ['>='])[0]} {y} - {x} * {step}"}
-            p.curves.append((name, over, x, y))
+            p.curves.append((name, over, x, y, (sense or [">="])[0]))
             continue
         if method not in ("convex", "sos2", "adjacency"):
             raise SchemaError(f"piecewise {name}: no method {method}; there are convex, lp, sos2, adjacency")
@@ -305,7 +305,7 @@ def _piecewise(spec: dict, p: Program) -> dict:
             spec["variables"] |= variables
             spec["constraints"] |= constraints
         elif len(links) == 2:
-            p.curves.append((name, over, links[0][1], links[1][1]))
+            p.curves.append((name, over, links[0][1], links[1][1], (links[1][2:] or [">="])[0]))
     return spec
 
 
@@ -418,6 +418,3 @@ def _check(p: Program) -> None:
         inside("the objective", p.objective, ())
         p.degree(p.objective)
 
-
-def is_mask(node) -> bool:
-    return isinstance(node, Binary) and node.op in (*COMPARE, "and", "or") or isinstance(node, Unary) and node.op == "not"

@@ -8,7 +8,6 @@ Relation:   (<columns>...)
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product as cartesian
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,7 +201,3 @@ def tidy(a: Attached) -> dict[str, DataFrame]:
     """The attached tables under their names; dimensions with their position."""
     return {**a.dimensions, **a.relations, **a.parameters}
 
-
-def coordinates(a: Attached, dims: tuple[str, ...]) -> list[tuple]:
-    """Labels of small dimensions on the driver, row-major; for messages and tests."""
-    return [*cartesian(*([r[0] for r in a.dimensions[d].orderBy("ord").collect()] for d in dims))]

@@ -102,6 +102,9 @@ def test_piecewise(spark, method):
         "objective": {"expression": "c"},
     }
     assert rowloom.solve(spark, spec, {"b": [0, 1, 2], "x": [0.0, 4.0, 10.0], "y": [0.0, 4.0, 22.0]}).objective == pytest.approx(10)
+    if method != "adjacency":
+        with pytest.raises(DataError, match="not convex"):
+            rowloom.build(spark, spec, {"b": [0, 1, 2], "x": [0.0, 4.0, 10.0], "y": [0.0, 4.0, 5.0]})
 
 
 RULES = {"dimensions": {"t": {"dtype": "int", "ordered": True}, "g": {"dtype": "str"}}, "relations": {"of": {"key": "t", "values": "g"}}, "parameters": {"a": {"dims": ["t"], "missing": "neutral"}, "b": {"dims": ["t"], "missing": "absent"}, "z": {"dims": ["t"], "missing": 0}, "n": {"dims": ["g"], "dtype": "int"}}}
