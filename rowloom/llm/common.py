@@ -56,11 +56,6 @@ def doc_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def split_hot(counts: DataFrame, key: str, n: str, total: int, share: int = 256) -> DataFrame:
-    """The keys that hold at least 1/share of `total` rows: `share` of them at most, so a broadcast is bounded."""
-    return counts.filter(F.col(n) * F.lit(share) >= F.lit(max(total, 1))).select(key)
-
-
 def skewed_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 256) -> DataFrame:
     """Left join of `rows` with `table` (one row per key; `weight` = rows that carry the key).
 

@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import public_tokenizers  # noqa: F401
 import pytest
 from tokenizers import Tokenizer
 
