@@ -38,6 +38,7 @@ class Term:
     frame: DataFrame
     plain: bool = False  # data as given: a coordinate without a row has no value
     names: tuple[str, ...] = ()
+    full: bool = False  # a constant with a row at every coordinate of its dimensions
 
     @property
     def labels(self) -> tuple[str, ...]:
@@ -142,7 +143,7 @@ class Compiler:
                 return Compiled([Term("const", (n,), self.a.dimension(n).select(n, F.col(n).cast("double").alias("v")), True)])
             case Unary("-", of):
                 c = self.expression(of)
-                return Compiled([Term(t.kind, t.dims, t.frame.withColumn("v", -F.col("v")), t.plain, t.names) for t in c.terms], c.presences)
+                return Compiled([Term(t.kind, t.dims, t.frame.withColumn("v", -F.col("v")), t.plain, t.names, t.full) for t in c.terms], c.presences)
             case Binary("+", x, y):
                 c, d = self.expression(x), self.expression(y)
                 return Compiled(c.terms + d.terms, c.presences + d.presences)
@@ -178,7 +179,7 @@ class Compiler:
         if p.dtype == "str":
             raise LanguageError(f"parameter {n} holds text; it can be compared, not computed with")
         there = [(table.select(*p.dims), p.dims)] if p.missing == "absent" and p.dims else []
-        return Compiled([Term("const", p.dims, table.select(*p.dims, F.col("value").cast("double").alias("v")), True, (n,))], there)
+        return Compiled([Term("const", p.dims, table.select(*p.dims, F.col("value").cast("double").alias("v")), True, (n,), p.missing not in ("neutral", "absent"))], there)
 
     def variable(self, n: str) -> Compiled:
         v = self.p.variables[n]
@@ -226,7 +227,9 @@ class Compiler:
             if {*joined.values()} != {*over}:
                 raise DimensionError(f"sum(): {r.name} doesn't lead from {', '.join(over)} to {', '.join(columns)}")
             added = {x: r.columns[x] for x in columns}
-            table = self.a.relations[r.name].select(*[F.col(x).alias(d) for x, d in joined.items()], *[F.col(x).alias(f"__to_{d}") for x, d in added.items()]).distinct()
+            table = self.a.relations[r.name].select(*[F.col(x).alias(d) for x, d in joined.items()], *[F.col(x).alias(f"__to_{d}") for x, d in added.items()])
+            if not r.key or not set(r.key) <= {*joined, *added}:  # a key that is there whole has one row anyway
+                table = table.distinct()
         out = []
         for t in self.settled(c):
             if lacking := [d for d in over if d not in t.dims]:
@@ -240,7 +243,7 @@ class Compiler:
                 frame = frame.join(table, list(over))
                 frame = frame.select(*keep, *[F.col(f"__to_{d}").alias(d) for d in added.values()], *t.labels, "v")
             frame = frame.select(*dims, *t.labels, "v")
-            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names))
+            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names, t.kind == "const"))
         return Compiled(out)
 
     def relation_walk(self, by) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
@@ -401,6 +404,8 @@ class Compiler:
         """(dims..., v) of a variable-free expression, where it exists."""
         c = self.expression(node)
         dims = self.p.ordered({*self.p.dims(node), *(d for t in c.terms for d in t.dims), *(k for _, ks in c.presences for k in ks)})
+        if len(c.terms) == 1 and c.terms[0].full and c.terms[0].dims == dims and not c.presences:
+            return c.terms[0].frame.select(*dims, "v"), dims
         carrier = self.within(self.a.product(dims), dims, c.presences)
         return self.added(carrier, dims, c.of("const")).select(*dims, "v"), dims
 
