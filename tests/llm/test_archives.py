@@ -74,3 +74,13 @@ def test_pipeline(spark, tmp_path):
     check_packing([*safe.items()], kept[4].collect(), 1024, Tokenizer.from_str(tokenizer_json()))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
     assert quality.BUCKETS == 1 << 13
+
+
+def test_near_duplicate_stage_drops_edited_copies(spark):
+    """Copies with four of 250 words changed: similarity 0.85, more than three SimHash bits."""
+    random.seed(11)
+    words = [f"word{random.randrange(5000)}" for _ in range(250)]
+    texts = [" ".join(words)] + [" ".join(f"new{k}" if i % 60 == 9 + k else w for i, w in enumerate(words)) for k in range(4)] + [" ".join(reversed(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == {0, 5}

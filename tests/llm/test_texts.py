@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rowloom.llm import components, ctw, language_id, media, quality, secrets, simhash
+from rowloom.llm import components, ctw, language_id, media, minhash, quality, secrets, simhash
 
 TEXTS = ["the cat sat on the mat", "The  dog\nate é cat", "", None, "the the cat", "zebra the", "x " * 40 + "\n" + "x " * 40]
 
@@ -131,6 +131,27 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_copies(spark, block, monkeypatch):
+    """Edited copies link at an exact five-word similarity of 0.8, however many SimHash bits they differ by."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = [f"word{x}" for x in rng.integers(0, 5000, 250)]
+    edited = lambda places: " ".join("new%d" % i if i in places else w for i, w in enumerate(base))
+    texts = [edited({*range(7, 250, step)}) for step in (60, 70, 80, 90, 20, 45)] + [" ".join(base).upper(), " ".join(base[::-1]), " ".join(base), "", None, " \t", "a b c", "A b  c"]
+    texts += [" ".join([*base[:40], *(f"own{k}x{i}" for i in range(k))]) for k in (0, 8, 9, 10, 30)]  # at and beside 0.8
+    rows = [(100 - i, t, "x") for i, t in enumerate([*texts, texts[0]])] + [(None, "a b c", "x"), (None, "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string").repartition(4)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t, _ in sorted(rows, key=lambda r: r[0] or 1000))]
+    label = reach(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    keys = [r[0] for r in sorted(rows, key=lambda r: r[0] or 1000)]
+    found = Counter((r["doc_id"], r["component_id"]) for r in minhash.near_copies(docs).collect())
+    assert found == Counter((k, keys[x]) for k, x in zip(keys, label, strict=True))
+    apart = [(slow_fingerprint(texts[8]) ^ slow_fingerprint(t)).bit_count() for t in texts[:4]]
+    assert max(apart) > simhash.RADIUS and len({c for k, c in found if k in (100, 99, 98, 97, 92)}) == 1
+    assert minhash.near_copies(docs.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("crowd", [False, True])
 def test_simhash_links(spark, crowd, monkeypatch):
     """Random fingerprints with planted neighbours at one to five bits; all in few cells for the crowd."""
