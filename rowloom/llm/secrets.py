@@ -27,12 +27,15 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # a maximal run, so the same as dropping shorter runs
 }
-#: Weak candidates and endpoints: pattern, least and greatest length.
+#: No text is longer.
+ANY = (1 << 31) - 1
+#: Weak candidates and endpoints: pattern, least and greatest length. Longer identifiers and short hexadecimal runs are
+#: of a kind in BASE; nothing takes longer keys and endpoints, so these have no greatest length.
 PARTS = {
     "weak_id": (r"AKIA[A-Z0-9]{4,}", 8, 19),
-    "weak_key": (r"[A-Za-z0-9+/]{20,}", 20, 64),
+    "weak_key": (r"[A-Za-z0-9+/]{20,}", 20, ANY),
     "weak_hex": (r"[0-9a-f]{16,}", 16, 23),
-    "endpoint": (r"https?://[A-Za-z0-9.-]+", 10, 200),
+    "endpoint": (r"https?://[A-Za-z0-9.-]+", 10, ANY),
 }
 KINDS = [*BASE, *PARTS]
 SCOPE = 256

@@ -232,6 +232,15 @@ def test_secrets(spark):
     assert secrets.scan(docs.filter("false")).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    """Keys beyond 64 characters and endpoints beyond 200 count."""
+    key, host = "Ab3dEf7hIj9k" * 7 + "Zz", "https://" + "sub." * 50 + "example.com"
+    texts = [f"AKIAABCDEFGH12 {key}== https://s3.example.com/x", f"{host} AKIAABCDEFGH12 {key[:40]}", f"AKIAABCDEFGH12 {key}/path/{key * 5}"]
+    found = secrets.scan(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"), keep=("doc_id", "text"))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    assert clean == {0: "[SECRET] [SECRET]== https://s3.example.com/x", 1: f"{host} [SECRET] [SECRET]", 2: "AKIAABCDEFGH12 [SECRET]"}
+
+
 def test_media(spark):
     texts = [*TEXTS, "x" * 576, "x" * 577, TEXTS[0], "<p>&amp; é"]
     docs = spark.createDataFrame([(i, t, b"") for i, t in enumerate(texts)], "doc_id bigint, text string, stored binary")
