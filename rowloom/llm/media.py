@@ -181,9 +181,11 @@ def feature_of(payload: bytes) -> str:
 
 
 def page_for(digest: str, text: str) -> str:
-    """A page that shows a text's payload: its first line leads, its first words are the caption."""
-    lead = html.escape(text[:200].split("\n", 1)[0])
-    return f'<article><p>{lead}</p><figure><img src="{URN}{digest}" alt="payload"><figcaption>{html.escape(text[:40])}</figcaption></figure></article>'
+    """A page of the whole text, a paragraph per line, that shows its payload after the first half of them; the caption is its first words."""
+    lines = [f"<p>{html.escape(line)}</p>" for line in text.split("\n") if line.strip()]
+    half = (len(lines) + 1) // 2
+    figure = f'<figure><img src="{URN}{digest}" alt="payload"><figcaption>{html.escape(text[:40])}</figcaption></figure>'
+    return "".join(["<article>", *lines[:half], figure, *lines[half:], "</article>"])
 
 
 def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,12 +60,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored as a picture; a page refers to it; the parsed reference finds what the stored picture holds."""
-    stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
-    refs = media.references(media.parse(stored.select(F.struct("doc_id", "n_bytes").alias("doc"), "page"), key="doc", column="page"), key="doc")
-    found = media.resolve(refs, media.features(stored), stored.count())
-    return found.select(
-        "doc.doc_id", "doc.n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    """Each text is stored as a picture inside a page of the text; the page's sequence is put together again around what the stored picture holds."""
+    # rows that repeat a doc_id are pages of their own
+    docs = table(spark, sf_dir, "documents").select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), "text")
+    stored = materialise(media.store(docs, key="doc").select("doc.*", "n_bytes", "page", "stored"), "media")
+    sequences = materialise(media.parse(stored.select(F.struct("row", "doc_id", "n_bytes").alias("doc"), "page"), key="doc", column="page"), "sequences")
+    found = media.resolve(media.references(sequences, key="doc"), media.features(stored), stored.count())
+    whole = media.assemble(sequences, found, key="doc")
+    shown = whole.select("doc", F.explode(F.filter("items", lambda i: i["digest"].isNotNull())).alias("i"))
+    return shown.select(
+        "doc.doc_id", "doc.n_bytes", "i.media.payload_bytes", F.col("i.digest").alias("payload_sha256"), "i.media.tail_crc32", "i.media.media_bytes", "i.media.media_sha256", "i.media.feature", "i.position", "i.caption"
     )
 
 

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from rowloom.llm import components, ctw, language_id, media, minhash, quality, secrets, simhash
+from rowloom.llm.queries import op9_media_columns
 
 TEXTS = ["the cat sat on the mat", "The  dog\nate é cat", "", None, "the the cat", "zebra the", "x " * 40 + "\n" + "x " * 40]
 
@@ -259,6 +260,20 @@ def test_media(spark):
         media.samples(media.png(media.padded(b"x"))[:-20] + bytes(20))
 
 
+def test_media_query_reads_whole_texts(spark, tmp_path):
+    """Every line of a text is in its sequence, around the picture; rows that repeat a doc_id stay."""
+    long = "\n".join(f"line {i} <b> & " + "word " * 60 for i in range(5))
+    items = media.sequence_of(media.page_for("ab", long))
+    assert [x["text"] for x in items if x["kind"] == "text"] == [" ".join(x.split()) for x in long.split("\n")]
+    assert [x["kind"] for x in items] == ["text"] * 3 + ["media"] + ["text"] * 2 and items[3]["caption"] == " ".join(long[:40].split())
+    texts = [long, "one", None, "", "\n\n", long]
+    spark.createDataFrame([(min(i, 4), t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op9_media_columns(spark, str(tmp_path)).collect()
+    want = [(min(i, 4), len((t or "").encode()), hashlib.sha256(media.padded((t or "").encode())).hexdigest(), p) for i, (t, p) in enumerate(zip(texts, (3, 1, 0, 0, 0, 3), strict=True))]
+    assert sorted((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["position"]) for r in rows) == sorted(want)
+    assert all(r["media_sha256"] and r["feature"] and r["payload_bytes"] % 576 == 0 for r in rows)
+
+
 def test_sequence_order():
     page = '<h1>Top</h1><p>a <b>b</b></p><script>var t="<img src=no>"</script><figure><img src="urn:sha256:AB" alt="x"><figcaption>cap &amp; tion</figcaption></figure>tail<img src="/y.png"/>'
     items = media.sequence_of(page)
