@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,26 @@ BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see; our own one only where the cluster names none."""
+    """Folder of this application that the driver and every executor see, below `spark.checkpoint.dir`.
+
+    Without that setting a local master gets a temporary folder, since all its
+    threads are on one machine; any other master is refused, because executors
+    wouldn't see each other's files.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"rowloom-{os.getuid()}")
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/rowloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has written to the shared folder; results that still read them end with it."""
+    jvm, path = spark.sparkContext._jvm, shared_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +47,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     whatever was not deterministic in the plan above it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rowloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

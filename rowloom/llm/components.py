@@ -1,38 +1,51 @@
-"""Connected components of a graph held in DataFrames, by contraction towards smaller neighbours."""
+"""Connected components of a graph held in DataFrames, by contraction towards neighbours of least rank."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _ranked(node: str, round_: int) -> Column:
+    """A node behind its rank of a round; ranks of different rounds have nothing to do with each other."""
+    return F.struct(F.xxhash64(F.lit(round_), F.col(node)).alias("rank"), F.col(node).alias("to"))
+
+
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: bigint); root is the smallest node it reaches.
 
-    Each round, every node steps to its smallest neighbour if that is smaller,
-    and edges are drawn between where their ends went. Loops and repeated edges
-    go, so a round leaves a fraction of the nodes. Every round's tables are
-    written to the shared folder; only their sizes reach the driver. Joins read
-    written tables on both sides, so adaptive execution can split a node that
-    many edges share.
+    Each round, every node steps to whichever of itself and its neighbours has
+    the least rank, a hash of the node that changes with the round; edges are
+    drawn between where their ends went, loops and repeated edges go. On a path
+    half of the nodes are left on average, in denser graphs fewer, so a chain of
+    n nodes takes about log2(n) rounds in whatever order its nodes are numbered.
+    Every round's tables are written to the shared folder; only whether any edge
+    is left reaches the driver. Joins read written tables on both sides, so
+    adaptive execution can split a node that many edges share. `rounds`, if
+    given, gets one number per round.
     """
     spark = edges.sparkSession
     tidy = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     left = materialise(tidy(edges), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        step = materialise(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("to")), "step")
+        k = len(steps)
+        both = left.select(F.col("a").alias("node"), _ranked("b", k).alias("near")).unionByName(left.select(F.col("b").alias("node"), _ranked("a", k).alias("near")))
+        best = both.groupBy("node").agg(F.min("near").alias("near"))
+        step = materialise(best.select("node", F.least("near", _ranked("node", k))["to"].alias("to")), "step")
         steps.append(step)
         moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a")
         moved = moved.join(step.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b")
         left = materialise(tidy(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "edges")
+        if rounds is not None:
+            rounds.append(k)
     if not steps:
         return spark.createDataFrame([], "node bigint, root bigint")
-    found = steps[0].select("node", F.col("to").alias("root"))
+    found = steps[0].select("node", F.col("to").alias("end"))
     for step in steps[1:]:
-        onward = step.select(F.col("node").alias("root"), "to")
-        found = materialise(found.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-    return found
+        onward = step.select(F.col("node").alias("end"), "to")
+        found = materialise(found.join(onward, "end", "left").select("node", F.coalesce("to", "end").alias("end")), "ends")
+    least = materialise(found.groupBy("end").agg(F.min("node").alias("root")), "least")
+    return found.join(least, "end").select("node", "root")
