@@ -7,9 +7,12 @@ driver covers it with patterns (multisets of lengths that fill one sequence):
 1. multiplicative weights solve the covering program min sum(x), A x >= n. A
    length's weight falls as it gets covered; the next pattern is the one of
    greatest weight, priced by a bounded-knapsack dynamic program.
-2. the fractional x is rounded down to whole sequences, never above a length's
-   count, and the program is solved again for what is left.
-3. what rounding leaves is filled best fit, longest piece first.
+2. the fractional x is rounded to whole sequences, down first and then up by the
+   largest fractions, never above a length's count, and the program is solved
+   again for what is left.
+3. what rounding leaves is filled best fit, longest piece first. Best fit alone
+   is the measure: rounding keeps only as many patterns, fullest first, as need
+   no more sequences in all, so a plan is never worse than best fit.
 
 The plan is a list of (pattern, number of sequences), a few thousand entries at
 most. A piece finds its place from its rank among the pieces of its length:
@@ -97,62 +100,107 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[t
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Run]:
     """Longest first, each into the fullest sequence that has room; like sequences are handled together."""
-    rooms: dict[int, list[list]] = {}  # room left -> [sequences, pattern]
+    rooms: list[list[list]] = [[] for _ in range(capacity + 1)]  # by room left: [sequences, pattern]
+    open_ = 0  # bit r: some sequence has room r
     for length, n in sorted(zip(lengths.tolist(), counts.tolist(), strict=True), reverse=True):
         while n:
-            room = min((r for r in rooms if r >= length and rooms[r]), default=None)
-            if room is None:
-                sequences, pattern, room = n, {}, capacity
-            else:
+            above = open_ >> length
+            if above:
+                room = length + (above & -above).bit_length() - 1
                 sequences, pattern = rooms[room].pop()
+            else:
+                sequences, pattern, room = n, {}, capacity
             fit = min(room // length, n)
             used = min(sequences, n // fit)
             if used < sequences and pattern:
                 rooms[room].append([sequences - used, pattern])
-            rooms.setdefault(room - fit * length, []).append([used, pattern | {length: fit}])
+            if not rooms[room]:
+                open_ &= ~(1 << room)
+            rooms[room - fit * length].append([used, pattern | {length: fit}])
+            open_ |= 1 << (room - fit * length)
             n -= used * fit
-    return [(s, [*p.items()]) for groups in rooms.values() for s, p in groups]
+    return [(s, [*p.items()]) for groups in rooms for s, p in groups]
 
 
-def rounded(chosen: list[tuple[np.ndarray, float]], lengths: np.ndarray, counts: np.ndarray, capacity: int, full: float) -> tuple[list[Run], np.ndarray]:
-    """Whole sequences of the fractional solution, and the counts that they leave."""
+def rounded(chosen: list[tuple[np.ndarray, float]], lengths: np.ndarray, counts: np.ndarray, capacity: int, full: float) -> list[tuple[int, np.ndarray]]:
+    """Whole sequences of the fractional solution's patterns that are `full` enough, fullest first: rounded down, then up by the largest fractions while the counts last."""
     merged: dict[bytes, list] = {}
     for p, x in chosen:
-        merged.setdefault(p.tobytes(), [p, 0.0])[1] += x
-    runs, left = [], counts
-    for p, x in sorted(merged.values(), key=lambda m: -int(m[0] @ lengths)):
-        uses = p > 0
-        times = min(int(x), int((left[uses] // p[uses]).min()))
-        if times and int(p @ lengths) >= full * capacity:
-            left = left - times * p
-            runs.append((times, [*zip(lengths[uses].tolist(), p[uses].tolist(), strict=True)]))
-    return runs, left
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
-    """Sequences for all pieces of the histogram {length: pieces}; every piece has exactly one place."""
+        if int(p @ lengths) >= full * capacity:
+            merged.setdefault(p.tobytes(), [p, 0.0])[1] += x
+    order = sorted(merged.values(), key=lambda m: -int(m[0] @ lengths))
+    left, times = counts.copy(), []
+    room = lambda p: int((left[p > 0] // p[p > 0]).min())
+    for p, x in order:
+        times.append(min(int(x), room(p)))
+        left = left - times[-1] * p
+    for i in sorted(range(len(order)), key=lambda i: times[i] - order[i][1]):
+        if times[i] < order[i][1] and room(order[i][0]):
+            times[i] += 1
+            left = left - order[i][0]
+    return [(n, p) for n, (p, _) in zip(times, order, strict=True) if n]
+
+
+def needed(runs: list[Run]) -> int:
+    return sum(n for n, _ in runs)
+
+
+def parts_of_plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], list[Run]]:
+    """Sequences for all pieces of the histogram {length: pieces}: those of the program, and those of best fit around it.
+
+    Every piece has exactly one place; of plans of equally few sequences that
+    with most sequences from the program stays.
+    """
     lengths = np.array(sorted(x for x, n in histogram.items() if 0 < x < capacity and n), dtype=np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
+    fill = lambda left: best_fit(lengths[left > 0], left[left > 0], capacity)
+
+    def kept(runs: list[tuple[int, np.ndarray]], left: np.ndarray, most: int) -> tuple[int, list[Run], np.ndarray]:
+        """As many runs, from the first, as need at most `most` sequences together with best fit for what they leave."""
+        low, high, best = 0, len(runs), (needed(fill(left)), [], left)
+        while low <= high:
+            k = high if low == 0 and high == len(runs) else (low + high) // 2
+            rest = left - sum((n * p for n, p in runs[:k]), np.zeros_like(left))
+            total = sum(n for n, _ in runs[:k]) + needed(fill(rest))
+            if total <= min(most, best[0]):
+                best = total, [(n, [*zip(lengths[p > 0].tolist(), p[p > 0].tolist(), strict=True)]) for n, p in runs[:k]], rest
+                low = k + 1
+            else:
+                high = k - 1
+        return best
 
-    def solved(left: np.ndarray, rounds: int) -> list[Run]:
+    def solved(left: np.ndarray, rounds: int) -> tuple[list[Run], np.ndarray]:
+        """Runs of the program, and the counts that they leave to best fit."""
         # rare lengths would make the steps tiny; best fit places them
         on = left * max(1, int((left > 0).sum())) * 8 * capacity >= max(1, int(lengths @ left))
-        if not rounds or not on.any() or int(left[on].max()) < 8:
-            return best_fit(lengths[left > 0], left[left > 0], capacity)
-        chosen, best = fractional(lengths[on], left[on], capacity), None
+        if not rounds or not on.any():
+            return [], left
+        chosen, alone = fractional(lengths[on], left[on], capacity), needed(fill(left))
+        best: tuple[int, list[Run], np.ndarray] = (alone, [], left)
         for full in FULL:
-            runs, rest = rounded(chosen, lengths[on], left[on], capacity, full)
-            after = left.copy()
-            after[on] = rest
-            made = runs + best_fit(lengths[after > 0], after[after > 0], capacity)
-            if best is None or sum(n for n, _ in made) < sum(n for n, _ in best[0]):
-                best = made, runs, after
-        made, runs, after = best
-        again = runs + solved(after, rounds - 1) if 2 * int(after.sum()) < int(left.sum()) else made
-        return min(made, again, key=lambda r: sum(n for n, _ in r))
-
+            whole = []
+            for n, p in rounded(chosen, lengths[on], left[on], capacity, full):
+                wide = np.zeros_like(left)
+                wide[on] = p
+                whole.append((n, wide))
+            found = kept(whole, left, alone)
+            best = min(best, found, key=lambda b: (b[0], -needed(b[1])))
+        total, runs, rest = best
+        if not runs:
+            return [], left
+        more, last = solved(rest, rounds - 1)
+        better = more and needed(runs) + needed(more) + needed(fill(last)) <= total
+        return (runs + more, last) if better else (runs, rest)
+
+    runs, rest = solved(counts, ROUNDS)
     whole = [(n, [(length, 1)]) for length, n in histogram.items() if length == capacity and n]
-    return whole + solved(counts, ROUNDS)
+    return runs, whole + fill(rest)
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
+    """The sequences of both parts."""
+    program, rest = parts_of_plan(histogram, capacity)
+    return program + rest
 
 
 @dataclass
