@@ -2,10 +2,12 @@
 
 `parse` turns HTML into a sequence of structs in document order: a text run, or
 a media reference with its digest, its alternative text and its caption.
-`store` keeps each distinct payload once, as a greyscale PNG of 8-bit samples
-(lossless), and `features` reads the stored bytes back. `resolve` joins
-references to stored media by digest; `assemble` puts the sequence of a
-document together again, position by position.
+`store` keeps every payload as a greyscale PNG of 8-bit samples (lossless), and
+`features` reads the stored bytes back. `pages` lays a text out as HTML around
+its payload. `resolve` makes equal payloads one row and joins references to them
+by digest; `assemble` puts the sequence of a document together again, position
+by position. `outline` is a sequence whose runs carry their length instead of
+their characters, for sequences that travel.
 
 A digest that many documents share is one row on the media side, and on the
 reference side it is looked up without going through one task.
@@ -14,7 +16,6 @@ reference side it is looked up without going through one task.
 from __future__ import annotations
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import bounded_batches, skewed_lookup, text_of
+from rowloom.llm.common import bounded_batches, materialise, skewed_lookup, text_of
 
 PAD, WIDTH = 255, 576
 LEVEL = 3  # of deflate
@@ -122,6 +123,13 @@ def parse(pages: DataFrame, *, key: str = "page_id", column: str = "html") -> Da
     return narrow.mapInArrow(run, f"`{key}` {narrow.schema[key].dataType.simpleString()}, items array<{ITEM}>")
 
 
+def outline(sequences: DataFrame) -> DataFrame:
+    """The sequences with the number of code points (`chars`) of every text run instead of its text; media keep their alternative text."""
+    is_text = lambda i: i["kind"] == "text"
+    item = F.transform("items", lambda i: i.withField("chars", F.when(is_text(i), F.char_length(i["text"]))).withField("text", F.when(~is_text(i), i["text"])))
+    return sequences.withColumn("items", item)
+
+
 def references(sequences: DataFrame, *, key: str = "page_id") -> DataFrame:
     """One row per media reference with a digest: `key`, position, digest, alt, caption."""
     item = F.explode(F.filter("items", lambda i: i["digest"].isNotNull()))
@@ -180,33 +188,49 @@ def feature_of(payload: bytes) -> str:
     return f"lines={len(s) // WIDTH};mean={s.mean():.2f};entropy={round(-100 * float((p * np.log2(p)).sum()))};dhash={bits}"
 
 
-def page_for(digest: str, text: str) -> str:
-    """A page of the whole text, a paragraph per line, that shows its payload after the first half of them; the caption is its first words."""
-    lines = [f"<p>{html.escape(line)}</p>" for line in text.split("\n") if line.strip()]
-    half = (len(lines) + 1) // 2
-    figure = f'<figure><img src="{URN}{digest}" alt="payload"><figcaption>{html.escape(text[:40])}</figcaption></figure>'
-    return "".join(["<article>", *lines[:half], figure, *lines[half:], "</article>"])
+def pages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, n_bytes and `page`: HTML of the whole text, a paragraph per line, with its payload's picture after the first half of them.
 
-
-def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row `key`, n_bytes, `page` (HTML that refers to the payload by digest) and `stored`, the picture."""
-    narrow = bounded_batches(docs).select(key, text_of(text).alias("__text"))
+    The picture's caption is the first line's first words. Columns only, no
+    Python. A null or empty text is a page of the picture alone.
+    """
+    t = text_of(text)
+    raw = F.encode(t, "UTF-8")
+    size = F.octet_length(t)
+    fill = F.greatest(F.lit(WIDTH), F.ceil(size / WIDTH).cast("int") * WIDTH) - size
+    digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit(f"{PAD:02x}"), fill))), 256)
+    escaped = t
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
+    lines = F.filter(F.split(F.col("__escaped"), "\n", -1), lambda line: line.rlike(r"[^\x00-\x20]"))
+    paragraphs = F.transform("__lines", lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>")))
+    half = F.floor((F.size("__lines") + 1) / 2).cast("int")
+    caption = F.array_join(F.slice(F.split(F.get("__lines", F.lit(0)), r"[\x00-\x20]+", 9), F.lit(1), F.lit(8)), " ")
+    figure = F.concat(F.lit(f'<figure><img src="{URN}'), "__digest", F.lit('" alt="payload"><figcaption>'), F.coalesce(caption, F.lit("")), F.lit("</figcaption></figure>"))
+    page = F.concat(
+        F.lit("<article>"),
+        F.array_join(F.slice("__paragraphs", F.lit(1), half), ""),
+        figure,
+        F.array_join(F.slice("__paragraphs", half + 1, F.size("__paragraphs")), ""),
+        F.lit("</article>"),
+    )
+    made = docs.select(F.col(key), size.cast("bigint").alias("n_bytes"), digest.alias("__digest"), escaped.alias("__escaped"))
+    return made.withColumn("__lines", lines).withColumn("__paragraphs", paragraphs).select(key, "n_bytes", page.alias("page"))
+
+
+def store(docs: DataFrame, *, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """Per row `keep` and `stored`, the picture of its text's payload. Repeated rows stay; a null text is empty."""
+    narrow = bounded_batches(docs).select(*keep, text_of(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):  # pictures of a few hundred texts at a time
                 part = batch.slice(low, 256)
-                texts = part.column("__text").to_pylist()
-                raw = [t.encode() for t in texts]
-                payloads = [padded(r) for r in raw]
-                yield pa.RecordBatch.from_pydict({
-                    key: part.column(key),
-                    "n_bytes": pa.array([len(r) for r in raw], pa.int64()),
-                    "page": [page_for(hashlib.sha256(p).hexdigest(), t) for p, t in zip(payloads, texts, strict=True)],
-                    "stored": pa.array([png(p) for p in payloads], pa.binary()),
-                })
+                pictures = [png(padded(t.encode())) for t in part.column("__text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | {"stored": pa.array(pictures, pa.binary())})
 
-    return narrow.mapInArrow(run, f"`{key}` {narrow.schema[key].dataType.simpleString()}, n_bytes bigint, page string, stored binary")
+    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
+    return narrow.mapInArrow(run, ", ".join([*fields, "stored binary"]))
 
 
 def features(media: DataFrame, *, keep: tuple[str, ...] = (), stored: str = "stored") -> DataFrame:
@@ -239,7 +263,7 @@ def resolve(refs: DataFrame, media: DataFrame, total: int, *, digest: str = "pay
     """
     values = [c for c in media.columns if c != digest]
     one = media.groupBy(F.col(digest).alias("digest")).agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in values])
-    return skewed_lookup(refs, one, "digest", "__n", total)
+    return skewed_lookup(refs, materialise(one, "payloads"), "digest", "__n", total)
 
 
 def assemble(sequences: DataFrame, resolved: DataFrame, *, key: str = "page_id") -> DataFrame:

@@ -60,17 +60,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored as a picture inside a page of the text; the page's sequence is put together again around what the stored picture holds."""
+    """Each text is stored as a picture inside a page of the whole text; the page's sequence is put together again around what the stored picture holds.
+
+    position, n_items, chars_before and chars_after place the picture among the page's text runs.
+    """
     # rows that repeat a doc_id are pages of their own
     docs = table(spark, sf_dir, "documents").select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), "text")
-    stored = materialise(media.store(docs, key="doc").select("doc.*", "n_bytes", "page", "stored"), "media")
-    sequences = materialise(media.parse(stored.select(F.struct("row", "doc_id", "n_bytes").alias("doc"), "page"), key="doc", column="page"), "sequences")
+    stored = materialise(media.store(docs), "media")
+    paged = media.pages(docs, key="doc").select(F.col("doc").withField("n_bytes", F.col("n_bytes")).alias("doc"), "page")
+    sequences = materialise(media.outline(media.parse(paged, key="doc", column="page")), "sequences")
     found = media.resolve(media.references(sequences, key="doc"), media.features(stored), stored.count())
     whole = media.assemble(sequences, found, key="doc")
-    shown = whole.select("doc", F.explode(F.filter("items", lambda i: i["digest"].isNotNull())).alias("i"))
+    chars = lambda keep: F.aggregate(F.filter("items", keep), F.lit(0).cast("bigint"), lambda n, i: n + F.coalesce(i["chars"], F.lit(0)))
+    shown = whole.withColumn("n_items", F.size("items")).select("doc", "n_items", "items", F.explode(F.filter("items", lambda i: i["digest"].isNotNull())).alias("i"))
     return shown.select(
-        "doc.doc_id", "doc.n_bytes", "i.media.payload_bytes", F.col("i.digest").alias("payload_sha256"), "i.media.tail_crc32", "i.media.media_bytes", "i.media.media_sha256", "i.media.feature", "i.position", "i.caption"
-    )
+        "doc.doc_id", "doc.n_bytes", "i.media.payload_bytes", F.col("i.digest").alias("payload_sha256"), "i.media.tail_crc32", "i.media.media_bytes", "i.media.media_sha256", "i.media.feature", "i.position", "i.caption",
+        "n_items", chars(lambda x: x["position"] < F.col("i.position")).alias("chars_before"), chars(lambda x: x["position"] > F.col("i.position")).alias("chars_after"),
+    )
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +98,15 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
-#: Greatest lengths that the SQL knows; the query has none for these kinds, so its spans of longer runs aren't in the SQL.
-_SQL_MOST = {"weak_key": 64, "endpoint": 200}
-_KINDS = ", ".join(
-    f"({_QUOTED(k)}, {i + 1}, {_QUOTED(p)}, {group if k in secrets.BASE else 0}, {low}, {high})"
-    for i, (k, p, group, low, high) in enumerate([(k, p, g, n, 1 << 30) for k, (p, g, n) in secrets.BASE.items()] + [(k, p, 0, low, _SQL_MOST.get(k, high)) for k, (p, low, high) in secrets.PARTS.items()])
-)
+#: The rules of the secret scan, written out for SQL on their own: kind, place in the list, pattern, group whose length counts, least and greatest length.
+_KINDS = r"""
+    ('assign', 1, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6, 2147483647),
+    ('access', 2, 'AKIA[A-Z0-9]+', 0, 20, 2147483647),
+    ('hex', 3, '[0-9a-f]+', 0, 24, 2147483647),
+    ('weak_id', 4, 'AKIA[A-Z0-9]+', 0, 8, 19),
+    ('weak_key', 5, '[A-Za-z0-9+/]+', 0, 20, 2147483647),
+    ('weak_hex', 6, '[0-9a-f]+', 0, 16, 23),
+    ('endpoint', 7, 'https?://[A-Za-z0-9.-]+', 0, 10, 2147483647)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
@@ -115,23 +123,14 @@ ORACLE_SQL: dict[str, str] = {
         placed AS (SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM m),
         s AS (SELECT doc_id, kind, rank, e - length(match) AS s, e FROM placed WHERE length(val) BETWEEN low AND high AND (kind <> 'weak_key' OR (regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]')))),
         w AS (
-            SELECT x.doc_id, x.kind, x.rank, x.s, x.e FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s - {secrets.SCOPE} AND y.s < x.e + {secrets.SCOPE}
+            SELECT x.doc_id, x.kind, x.rank, x.s, x.e FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.s >= x.s - 256 AND y.s < x.e + 256 AND (y.e <= x.s OR y.s >= x.e)
             WHERE x.kind LIKE 'weak%' GROUP BY ALL
             HAVING CASE WHEN x.kind = 'weak_id' THEN bool_or(y.kind IN ('weak_key', 'weak_hex', 'hex', 'assign')) AND bool_or(y.kind = 'endpoint') ELSE bool_or(y.kind IN ('access', 'weak_id')) END
         ),
-        base AS (SELECT * FROM s WHERE rank <= {len(secrets.BASE)}),
+        base AS (SELECT * FROM s WHERE rank <= 3),
         every AS (SELECT * FROM base UNION ALL SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
-        shown AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= {len(secrets.BASE)}) AS b,
+        shown AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS b,
             count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM every GROUP BY 1)
         SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN shown USING (doc_id)
     """,
 }
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # it imports this module
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline

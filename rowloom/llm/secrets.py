@@ -4,9 +4,11 @@ Three kinds of match are secrets by themselves: assignments, access identifiers
 and long hexadecimal runs. Weaker candidates (short identifiers, mixed-case
 keys, short hexadecimal runs) are reported only where complementary parts
 co-occur: parts are joined as intervals, each candidate's scope of `SCOPE`
-characters on both sides against the places of the other parts. Scopes are cut
-into bins, so the join is an equi-join on (row, bin) and a bin holds a bounded
-number of parts however long the text is.
+characters on both sides against the places of the other parts. A part that
+shares a character with the candidate is no complement: one string can't be
+both halves of a credential. Scopes are cut into bins, so the join is an
+equi-join on (row, bin) and a bin holds a bounded number of parts however long
+the text is.
 """
 
 from __future__ import annotations
@@ -39,23 +41,43 @@ PARTS = {
 }
 KINDS = [*BASE, *PARTS]
 SCOPE = 256
+BLOCK = 64
 #: What every identifier, weak or not, begins with.
 IDENTIFIER = "AKIA"
 LINKED = "array<struct<start:bigint,kind:string,end:bigint>>"
 
 
-def _spans(text: Column, matches: Column, pattern: str, wanted: Column) -> Column:
-    """(start, end) in code points of the matches that `wanted` names (one boolean each), from what lies between matches."""
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("between"), matches.alias("match"), wanted.alias("wanted"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+def _spans(placed: str) -> Column:
+    """(start, end) in code points of the wanted matches; column `placed` has each match's gap before it, its length, and whether it is wanted.
+
+    Places are sums of what lies before. They are added up within blocks of
+    `BLOCK` matches and then over the blocks, so n matches cost n * BLOCK +
+    (n / BLOCK)^2 steps, not n^2.
+    """
+    one = "struct<start:bigint,end:bigint>"
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{one}>").alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["between"])
-        end = start + F.char_length(x["match"])
+        start = state["at"] + x["gap"]
+        end = start + x["length"]
         grown = F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
         return F.struct(end.alias("at"), F.when(x["wanted"], grown).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    def join(state: Column, b: Column) -> Column:
+        moved = F.transform(b["spans"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + b["at"]).alias("at"), F.concat(state["spans"], F.array(moved)).alias("spans"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(placed) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(placed, k * BLOCK + 1, F.lit(BLOCK)), nothing, step))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{one}>>").alias("spans"))
+    return F.flatten(F.aggregate(blocks, start, join, lambda s: s["spans"]))
+
+
+def _placed(text: Column, matches: Column, pattern: str, wanted: Column) -> Column:
+    """Per match: code points between it and the one before, code points in it, and whether it is wanted."""
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    pairs = F.arrays_zip(between.alias("between"), matches.alias("match"), wanted.alias("wanted"))
+    return F.transform(pairs, lambda x: F.struct(F.char_length(x["between"]).cast("bigint").alias("gap"), F.char_length(x["match"]).cast("bigint").alias("length"), x["wanted"].alias("wanted")))
 
 
 def _long_enough(least: int):
@@ -77,20 +99,25 @@ def parts_of(docs: DataFrame, kinds: dict, *, text: str = "text") -> DataFrame:
     t, none = text_of(text), F.array().cast("array<struct<start:bigint,end:bigint>>")
     found = {f"__m_{k}": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, (p, *_) in kinds.items()}
     found["__v_assign"] = F.regexp_extract_all(t, F.lit(BASE["assign"][0]), F.lit(2))
-    out, spans = docs.withColumns(found), {}
+    placed = {}
     for kind, (pattern, *limits) in kinds.items():
+        m = F.col(f"__m_{kind}")
         if kind in BASE:
             wanted = F.transform(F.col("__v_assign" if limits[0] else f"__m_{kind}"), _long_enough(limits[1]))
         else:
-            wanted = F.transform(F.col(f"__m_{kind}"), _fits(kind, *limits))
-        spans[kind] = _spans(t, F.col(f"__m_{kind}"), pattern, wanted)
-    return out.withColumns({f"__{k}": F.when(F.size(f"__m_{k}") > 0, s).otherwise(none) for k, s in spans.items()}).drop(*found)
+            wanted = F.transform(m, _fits(kind, *limits))
+        placed[f"__p_{kind}"] = F.when(F.size(m) > 0, _placed(t, m, pattern, wanted))
+    out = docs.withColumns(found).withColumns(placed)
+    made = {f"__{k}": F.when(F.col(f"__p_{k}").isNotNull(), _spans(f"__p_{k}")).otherwise(none) for k in kinds}
+    return out.withColumns(made).drop(*found, *placed)
 
 
 def link(parts: DataFrame) -> DataFrame:
     """(rid, linked): the weak candidates of each row that complementary parts within their scope confirm.
 
-    A key or a short hexadecimal run needs an identifier, weak or not; a weak
+    A part counts by its start, and only if it shares no character with the
+    candidate: a key that begins like an identifier doesn't confirm itself. A
+    key or a short hexadecimal run needs an identifier, weak or not; a weak
     identifier needs an endpoint and one of key, short run, hexadecimal run or
     assignment.
     """
@@ -98,9 +125,10 @@ def link(parts: DataFrame) -> DataFrame:
     weak = every.filter(F.col("kind").isin("weak_id", "weak_key", "weak_hex"))
     low, high = F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE
     scopes = weak.select("rid", F.col("kind").alias("weak"), F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.explode(F.sequence(F.floor(low / SCOPE), F.floor(high / SCOPE))).alias("bin"))
-    places = every.select("rid", "kind", "start", F.floor(F.col("start") / SCOPE).alias("bin"))
+    places = every.select("rid", "kind", "start", "end", F.floor(F.col("start") / SCOPE).alias("bin"))
     near = (F.col("start") >= F.col("w_start") - SCOPE) & (F.col("start") < F.col("w_end") + SCOPE)
-    met = scopes.join(places, ["rid", "bin"]).filter(near)
+    apart = (F.col("end") <= F.col("w_start")) | (F.col("start") >= F.col("w_end"))
+    met = scopes.join(places, ["rid", "bin"]).filter(near & apart)
     has = lambda *kinds: F.max(F.col("kind").isin(*kinds))
     flags = met.groupBy("rid", "weak", "w_start", "w_end").agg(has("access", "weak_id").alias("id"), has("weak_key", "weak_hex", "hex", "assign").alias("secret"), has("endpoint").alias("endpoint"))
     confirmed = flags.filter(F.when(F.col("weak") == "weak_id", F.col("secret") & F.col("endpoint")).otherwise(F.col("id")))

@@ -1,6 +1,7 @@
 """Tokenisers, token counts and packing against the libraries themselves."""
 
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -112,15 +113,19 @@ def test_pack(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30))
-def test_plan_places_every_piece_once(histogram):
-    runs = packing.plan(histogram, 64)
-    used = {}
+@given(st.one_of(st.tuples(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30), st.just(64)), st.tuples(st.dictionaries(st.integers(1, 1024), st.integers(1, 60), max_size=40), st.just(1024))))
+def test_plan_places_every_piece_once(given_):
+    """And never needs more sequences than best fit."""
+    histogram, capacity = given_
+    runs, counts = packing.plan(histogram, capacity), Counter()
     for n, pattern in runs:
-        assert n > 0 and sum(length * times for length, times in pattern) <= 64
+        assert n > 0 and sum(length * times for length, times in pattern) <= capacity
         for length, times in pattern:
-            used[length] = used.get(length, 0) + n * times
-    assert used == histogram
+            counts[length] += n * times
+    assert counts == Counter(histogram)
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    alone = packing.best_fit(lengths, np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64), capacity)
+    assert packing.needed(runs) <= packing.needed(alone)
 
 
 def test_plan_beats_best_fit_where_triples_matter():
