@@ -1,5 +1,6 @@
 """Web archives: write, read back and merge; and the whole pipeline against its parts."""
 
+import gzip
 import hashlib
 import random
 
@@ -46,6 +47,44 @@ def test_archive(spark):
     assert warc.archive(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("file_bytes", "per_range"), [(2000, 7), (16 << 20, 50_000)])
+def test_members_can_be_sought(spark, monkeypatch, file_bytes, per_range):
+    """A capture's file, offset and length find its record; many files and ranges give the same history."""
+    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
+    monkeypatch.setattr(warc, "RANGE", per_range)
+    random.seed(2)
+    pages = [(f" k {i}\r\n%é", f"http://h{i % 3}.com/{i % 5}", "".join(random.choices("abc é\r\n", k=random.choice([0, 50, 3000]))), None if i % 2 else f"2020-01-0{i % 7 + 1}") for i in range(60)]
+    pages += [("long", " http://h.com\n", "z" * 3_000_000 + "é", "2020"), (None, None, "q" * 200, None)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string, day string").repartition(3)
+    path = warc.write(df, date="day")
+    runs = warc.captures(spark, path)
+    found = warc.merge(runs).collect()
+    assert sorted((r["record_id"] or "", r["payload_bytes"]) for r in found) == sorted((k or "", len(h.encode())) for k, _, h, _ in pages)
+    order = [(r["url_key"], r["date"], len(r["record_id"] or ""), r["record_id"] or "") for r in found]
+    assert order == sorted(order)
+    text = {k or "": h for k, _, h, _ in pages}
+    files = {r["path"]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").collect()}
+    assert len(files) > 8 if file_bytes == 2000 else len(files) <= 3
+    for r in found:
+        headers, block = warc.record_at(files[r["file"]], r["offset"], r["length"])
+        assert headers["warc-type"] == r["record_type"]
+        if r["record_type"] == "response":
+            assert block.partition(b"\r\n\r\n")[2] == text[r["record_id"] or ""].encode()
+    for content in files.values():  # a file is a whole gzip file
+        assert sum(1 for _ in warc.records(gzip.decompress(content))) == sum(1 for _ in warc.members(content))
+
+
+def test_damaged_archives_raise():
+    good = warc.packed(warc.record("1", None, "2020", hashlib.sha256(b"x").hexdigest(), b"x"))
+    (member, *_), = warc.members(good)
+    ((headers, block, *_),) = warc.records(member)
+    assert warc.capture_of(headers, block, "here")[2:8] == ("1", None, "response", None, 1, hashlib.sha256(b"x").hexdigest())
+    with pytest.raises(ValueError, match="differs"):
+        warc.capture_of(headers, block + b"y", "here")
+    with pytest.raises(ValueError, match="doesn't end"):
+        [*warc.members(good[:-3])]
+
+
 def test_pipeline(spark, tmp_path):
     """Clean documents stay, one of each group of copies; junk goes; secrets are replaced; all is packed."""
     random.seed(4)
