@@ -10,6 +10,7 @@ product. Only counts reach the driver; the tables stay lazy until a sink asks.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rowloom.errors import DataError
 from rowloom.functions.formula import Num, Unary
-from rowloom.plans.compiler import Compiled, Compiler, Term, ranked
+from rowloom.plans.compiler import Compiled, Compiler, Term, negated, ranked
 from rowloom.sources.door import Attached
 
 SCHEMAS = {
@@ -70,6 +71,7 @@ class Assembly:
         self.a, self.p = attached, attached.program
         self.h = Handoff(attached, self.p.sense)
         self.c = Compiler(attached, self.h.variables)
+        self.asked: list[tuple[str, DataFrame]] = []  # what must have no row, and what is said if it has
 
     def run(self) -> Handoff:
         cols = [self.variable(v) for v in self.p.variables.values()]
@@ -81,9 +83,20 @@ class Assembly:
             for name, table in self.constraint(c).items():
                 parts[name].append(table)
         self.objective()
+        self.settle()
         self.h.tables |= {"cols": self.union(cols, "cols"), "sos": self.union(sos, "sos"), **{n: self.union(t, n) for n, t in parts.items()}}
         return self.h
 
+    def settle(self) -> None:
+        """One job for all that could be wrong with the numbers; the first thing found is raised."""
+        if not self.asked:
+            return
+        where = lambda df: F.to_json(F.struct(*df.columns)) if df.columns else F.lit("{}")
+        looked = [df.limit(1).select(F.lit(i).alias("i"), where(df).alias("at")) for i, (_, df) in enumerate(self.asked)]
+        if found := reduce(DataFrame.unionByName, looked).collect():
+            first = min(found, key=lambda r: r["i"])
+            raise DataError(f"{self.asked[first['i']][0]} at {json.loads(first['at'])}")
+
     def union(self, tables: list[DataFrame], name: str) -> DataFrame:
         return reduce(DataFrame.unionByName, tables) if tables else self.a.spark.createDataFrame([], SCHEMAS[name])
 
@@ -116,10 +129,9 @@ class Assembly:
                 continue
             bound, dims = self.c.value_or_gap(node)
             out = out.join(bound.withColumnRenamed("v", side), list(dims), "left") if dims else out.crossJoin(bound.withColumnRenamed("v", side))
-        if any(node is not None and _constant(node) is None for node, _ in sides.values()):
-            gap = out.filter(F.col("lb").isNull() | F.col("ub").isNull()).select(*v.dims).limit(1).collect()
-            if gap:
-                raise DataError(f"variable {v.name}: a bound has no value at {gap[0].asDict()}")
+            own = self.c.expression(node)
+            if own.presences or not all(t.full for t in own.terms) or any(t.risky and t.names and not t.plain for t in own.terms):
+                self.asked.append((f"variable {v.name}: a bound has no value", out.filter(F.col(side).isNull()).select(*v.dims)))
         if v.domain != "continuous":
             near = lambda c: F.when((F.abs(c - F.round(c)) < ROUNDING) & (F.abs(c) < float("inf")), F.round(c))
             out = out.withColumns({s: F.coalesce(near(F.col(s)), F.col(s)) for s in sides})
@@ -136,21 +148,22 @@ class Assembly:
         return self.h.variables[s.variable].select((at + F.lit(first)).alias("set"), F.lit(s.kind).alias("type"), F.col("var").alias("col"), (F.col(f"ord_{s.along}") + 1).alias("weight"))
 
     def constraint(self, c) -> dict[str, DataFrame]:
-        frame = self.c.masked(c.dims, c.where, ords=True)
         left, right = self.c.expression(c.left), self.c.expression(c.right)
-        negative = [Term(t.kind, t.dims, t.frame.withColumn("v", -F.col("v")), t.plain, t.names) for t in right.terms if t.kind != "const"]
-        terms = [t for t in left.terms if t.kind != "const"] + negative
-        constants = right.of("const") + [Term("const", t.dims, t.frame.withColumn("v", -F.col("v")), t.plain, t.names) for t in left.of("const")]
-        frame = self.c.within(frame, c.dims, left.presences + right.presences)
+        terms = [t for t in left.terms if t.kind != "const"] + [negated(t) for t in right.terms if t.kind != "const"]
+        constants = right.of("const") + [negated(t) for t in left.of("const")]
         if not terms:
             raise DataError(f"constraint {c.name} has no variable")
-        # a row needs at least one of its variables, whatever the coefficient
-        placed = []
-        for t in terms:
-            own = t.frame.select(*t.dims, *t.labels, "v")
-            placed.append(self.c.join(frame, own, t.dims).select(*c.dims, *[F.col(f"ord_{d}") for d in c.dims], *t.labels, "v"))
-        kept = reduce(DataFrame.unionByName, [x.select(*c.dims, *[f"ord_{d}" for d in c.dims]) for x in placed]).distinct()
-        rows, n = self.labelled(kept, c.dims, "row", self.h.n_rows, False) if c.dims else (kept.limit(1).withColumn("row", F.lit(self.h.n_rows).cast("bigint")), kept.limit(1).count())
+        presences = left.presences + right.presences
+        frame = self.c.within(self.c.masked(c.dims, c.where, ords=True), c.dims, presences)
+        # a row needs at least one of its variables, whatever the coefficient; one that is everywhere settles that
+        certain = any(t.whole and set(t.dims) <= set(c.dims) for t in terms)
+        if not certain:
+            there = [self.c.join(frame, t.frame.select(*t.dims).distinct(), t.dims, "left_semi") for t in terms]
+            frame = reduce(DataFrame.unionByName, there).distinct() if len(there) > 1 else there[0]
+        if c.dims:
+            rows, n = self.labelled(frame, c.dims, "row", self.h.n_rows, certain and c.where is None and not presences)
+        else:
+            rows, n = frame.limit(1).withColumn("row", F.lit(self.h.n_rows).cast("bigint")), frame.limit(1).count()
         rows = rows.drop("__at").persist()
         self.h.constraints[c.name], self.h.spans[f"constraint:{c.name}"] = rows, (self.h.n_rows, n)
         self.h.omitted[f"constraint:{c.name}"] = self.a.size(c.dims) - n
@@ -158,11 +171,10 @@ class Assembly:
         side = self.sided(rows, c, constants)
         number = rows.select(*c.dims, "row")
         out = {"rows": side.select("row", F.lit(c.sense).alias("sense"), F.col("v").alias("rhs"))}
-        linear = [self.c.join(x, number, c.dims).select("row", F.col("var").alias("col"), "v") for x, t in zip(placed, terms, strict=True) if t.kind == "lin"]
-        if linear:
+        placed = lambda kind: [(t, self.c.join(t.frame.select(*t.dims, *t.labels, "v"), number, t.dims)) for t in terms if t.kind == kind]
+        if linear := [x.select("row", F.col("var").alias("col"), "v") for _, x in placed("lin")]:
             out["matrix"] = self.summed(reduce(DataFrame.unionByName, linear), ["row", "col"], f"constraint {c.name}", terms)
-        quadratic = [self.c.join(x, number, c.dims).select("row", F.least("var", "var2").alias("col_l"), F.greatest("var", "var2").alias("col_r"), "v") for x, t in zip(placed, terms, strict=True) if t.kind == "quad"]
-        if quadratic:
+        if quadratic := [x.select("row", F.least("var", "var2").alias("col_l"), F.greatest("var", "var2").alias("col_r"), "v") for _, x in placed("quad")]:
             self.h.kinds.add("quadratic_constraint")
             out["qmatrix"] = self.summed(reduce(DataFrame.unionByName, quadratic), ["row", "col_l", "col_r"], f"constraint {c.name}", terms)
         return out
@@ -171,19 +183,17 @@ class Assembly:
         """rhs of every row. A side that is data alone must cover all rows; other gaps add nothing."""
         alone = [t for t in constants if t.plain and len(constants) == 1 and t.names]
         side = self.c.added(rows.select(*c.dims, "row"), c.dims, constants) if not alone else self.c.join(rows.select(*c.dims, "row"), alone[0].frame.select(*alone[0].dims, "v"), alone[0].dims, "left" if alone[0].dims else "inner")
-        if constants and any(t.names for t in constants):
-            gap = side.filter(F.col("v").isNull() | F.isnan("v")).select(*c.dims, "row").limit(1).collect()
-            if gap:
-                raise DataError(f"constraint {c.name}: no value for the constant side at {gap[0].asDict()}")
+        sure = all(t.full and not t.risky for t in constants)
+        if constants and any(t.names for t in constants) and not sure:
+            self.asked.append((f"constraint {c.name}: no value for the constant side", side.filter(F.col("v").isNull() | F.isnan("v")).select(*c.dims, "row")))
         return side
 
     def summed(self, entries: DataFrame, keys: list[str], what: str, terms: list[Term]) -> DataFrame:
-        """One entry per key, exact zeros left out. Only computed coefficients can be null or infinite, so only they are checked."""
-        if any(t.names or not t.plain for t in terms):
-            bad = entries.filter(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))).limit(1).collect()
-            if bad:
-                names = ", ".join(dict.fromkeys(n for t in terms for n in t.names))
-                raise DataError(f"{what}: a coefficient from {names} is missing or not finite")
+        """One entry per key, exact zeros left out. Only computed or given coefficients can be null or infinite, so only they are asked about."""
+        if any(t.risky for t in terms):
+            names = ", ".join(dict.fromkeys(n for t in terms for n in t.names))
+            bad = entries.filter(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))).select(*keys)
+            self.asked.append((f"{what}: a coefficient from {names} is missing or not finite", bad))
         return entries.groupBy(*keys).agg(F.sum("v").alias("coeff")).filter("coeff <> 0")
 
     def objective(self) -> None:

@@ -16,7 +16,7 @@ join, OR a union, NOT an anti-join against the product. Nulls admit nothing.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -39,12 +39,18 @@ class Term:
     plain: bool = False  # data as given: a coordinate without a row has no value
     names: tuple[str, ...] = ()
     full: bool = False  # a constant with a row at every coordinate of its dimensions
+    whole: bool = False  # a variable with a row at every coordinate of its dimensions
+    risky: bool = False  # a value may be null or infinite
 
     @property
     def labels(self) -> tuple[str, ...]:
         return LABELS[self.kind]
 
 
+def negated(t: Term) -> Term:
+    return replace(t, frame=t.frame.withColumn("v", -F.col("v")))
+
+
 @dataclass
 class Compiled:
     terms: list[Term] = field(default_factory=list)
@@ -80,7 +86,7 @@ class Compiler:
         lacking = tuple(d for d in self.p.ordered(dims) if d not in t.dims)
         if not lacking:
             return t
-        return Term(t.kind, self.p.ordered((*t.dims, *lacking)), t.frame.crossJoin(self.a.product(lacking)), t.plain, t.names)
+        return replace(t, dims=self.p.ordered((*t.dims, *lacking)), frame=t.frame.crossJoin(self.a.product(lacking)), full=False)
 
     def within(self, frame: DataFrame, dims: tuple[str, ...], presences) -> DataFrame:
         for there, keys in presences:
@@ -93,7 +99,7 @@ class Compiler:
         out = []
         for t in c.terms:
             s = self.spread(t, keys)
-            out.append(Term(s.kind, s.dims, self.within(s.frame, s.dims, c.presences), t.plain, t.names))
+            out.append(replace(s, frame=self.within(s.frame, s.dims, c.presences), full=False, whole=s.whole and not c.presences))
         return out
 
     def filled(self, frame: DataFrame, dims: tuple[str, ...]) -> DataFrame:
@@ -108,7 +114,7 @@ class Compiler:
             return terms[0]
         dims = self.p.ordered({d for t in terms for d in t.dims} | {k for _, ks in c.presences for k in ks})
         frame = self.within(self.a.product(dims), dims, c.presences)
-        return Term("const", dims, self.added(frame, dims, terms).select(*dims, "v"))
+        return Term("const", dims, self.added(frame, dims, terms).select(*dims, "v"), full=not c.presences, risky=any(t.risky for t in terms))
 
     def added(self, carrier: DataFrame, dims: tuple[str, ...], terms: list[Term]) -> DataFrame:
         """The carrier with v, the sum of the constants; a gap adds nothing."""
@@ -126,9 +132,9 @@ class Compiler:
     def expression(self, node) -> Compiled:
         match node:
             case None:
-                return Compiled([Term("const", (), self.a.one_row().select(F.lit(0.0).alias("v")))])
+                return self.number(0.0)
             case Num(x):
-                return Compiled([Term("const", (), self.a.one_row().select(F.lit(float(x)).alias("v")))])
+                return self.number(float(x))
             case Cases():
                 return self.cases(node)
             case Name(n) if n in self.p.parameters:
@@ -138,12 +144,12 @@ class Compiler:
             case Name(n) if n in self.p.expressions:
                 return self.expression(self.p.expressions[n])
             case Name("inf"):
-                return Compiled([Term("const", (), self.a.one_row().select(F.lit(float("inf")).alias("v")))])
+                return self.number(float("inf"))
             case Name(n) if n in self.p.dimensions and self.p.dimensions[n].dtype in ("int", "float"):
                 return Compiled([Term("const", (n,), self.a.dimension(n).select(n, F.col(n).cast("double").alias("v")), True)])
             case Unary("-", of):
                 c = self.expression(of)
-                return Compiled([Term(t.kind, t.dims, t.frame.withColumn("v", -F.col("v")), t.plain, t.names, t.full) for t in c.terms], c.presences)
+                return Compiled([negated(t) for t in c.terms], c.presences)
             case Binary("+", x, y):
                 c, d = self.expression(x), self.expression(y)
                 return Compiled(c.terms + d.terms, c.presences + d.presences)
@@ -151,6 +157,9 @@ class Compiler:
                 return self.expression(Binary("+", x, Unary("-", y)))
             case Binary("*", x, y):
                 return self.product(self.expression(x), self.expression(y))
+            case Binary("/", x, Num(n)) if n:
+                c = self.expression(x)
+                return Compiled([replace(t, frame=t.frame.withColumn("v", F.col("v") / F.lit(float(n))), plain=False) for t in c.terms], c.presences)
             case Binary("/", x, y):
                 return self.quotient(self.expression(x), self.expression(y))
             case Binary("**", x, y):
@@ -158,7 +167,7 @@ class Compiler:
                 s, t = self.total(c), self.total(d)
                 frame = self.join(s.frame, t.frame.withColumnRenamed("v", "__e"), set(s.dims) & set(t.dims))
                 dims = self.p.ordered((*s.dims, *t.dims))
-                return Compiled([Term("const", dims, frame.select(*dims, F.pow("v", "__e").alias("v")))], c.presences + d.presences)
+                return Compiled([Term("const", dims, frame.select(*dims, F.pow("v", "__e").alias("v")), risky=True)], c.presences + d.presences)
             case Call("sum", (e,)):
                 return self.summed(node, e)
             case Call("at", (e,)):
@@ -174,12 +183,15 @@ class Compiler:
                 return Compiled([Term("const", dims, self.duals[n].select(*dims, "v"), True)], [(self.duals[n].select(*dims), dims)])
         raise LanguageError(f"{node} isn't an expression")
 
+    def number(self, x: float) -> Compiled:
+        return Compiled([Term("const", (), self.a.one_row().select(F.lit(x).alias("v")), full=True, risky=x in (float("inf"), float("-inf")))])
+
     def parameter(self, n: str) -> Compiled:
         p, table = self.p.parameters[n], self.a.parameters[n]
         if p.dtype == "str":
             raise LanguageError(f"parameter {n} holds text; it can be compared, not computed with")
         there = [(table.select(*p.dims), p.dims)] if p.missing == "absent" and p.dims else []
-        return Compiled([Term("const", p.dims, table.select(*p.dims, F.col("value").cast("double").alias("v")), True, (n,), p.missing not in ("neutral", "absent"))], there)
+        return Compiled([Term("const", p.dims, table.select(*p.dims, F.col("value").cast("double").alias("v")), True, (n,), p.missing not in ("neutral", "absent"), risky=n not in self.a.finite)], there)
 
     def variable(self, n: str) -> Compiled:
         v = self.p.variables[n]
@@ -190,7 +202,7 @@ class Compiler:
             if v.missing == "neutral" and v.dims:
                 frame = self.filled(frame, v.dims)
         there = [(frame.select(*v.dims), v.dims)] if v.missing == "absent" and v.where is not None and v.dims else []
-        return Compiled([Term(kind, v.dims, frame, kind == "const", (n,) if kind == "const" else ())], there)
+        return Compiled([Term(kind, v.dims, frame, kind == "const", (n,) if kind == "const" else (), whole=kind == "lin" and v.where is None)], there)
 
     def pair(self, s: Term, t: Term) -> Term:
         kind = {0: "const", 1: "lin", 2: "quad"}[len(s.labels) + len(t.labels)]
@@ -199,7 +211,9 @@ class Compiler:
             renamed = renamed.withColumnRenamed("var", "var2")
         dims = self.p.ordered((*s.dims, *t.dims))
         frame = self.join(s.frame, renamed, set(s.dims) & set(t.dims))
-        return Term(kind, dims, frame.select(*dims, *LABELS[kind], (F.col("v") * F.col("__w")).alias("v")), False, s.names + t.names)
+        covers = lambda x: x.whole if x.labels else x.full
+        both = covers(s) and covers(t)
+        return Term(kind, dims, frame.select(*dims, *LABELS[kind], (F.col("v") * F.col("__w")).alias("v")), False, s.names + t.names, both and kind == "const", both and kind != "const", s.risky or t.risky)
 
     def product(self, c: Compiled, d: Compiled) -> Compiled:
         one = lambda x: [self.total(x)] if len(x.of("const")) == len(x.terms) else x.terms
@@ -213,7 +227,7 @@ class Compiler:
             s = self.spread(s, t.dims)
             frame = s.frame.join(divisor, list(t.dims), "left") if t.dims else s.frame.crossJoin(divisor)
             v = F.when(F.col("__d").isNull(), F.lit(None).cast("double")).when(F.col("__d") == 0, F.lit(float("inf"))).otherwise(F.try_divide("v", "__d"))
-            out.append(Term(s.kind, s.dims, frame.select(*s.dims, *s.labels, v.alias("v")), False, s.names + t.names))
+            out.append(Term(s.kind, s.dims, frame.select(*s.dims, *s.labels, v.alias("v")), False, s.names + t.names, risky=True))
         there = [(t.frame.filter("v <> 0").select(*t.dims), t.dims)] if self.values is not None and t.dims else []
         return Compiled(out, c.presences + d.presences + there)
 
@@ -228,7 +242,7 @@ class Compiler:
                 raise DimensionError(f"sum(): {r.name} doesn't lead from {', '.join(over)} to {', '.join(columns)}")
             added = {x: r.columns[x] for x in columns}
             table = self.a.relations[r.name].select(*[F.col(x).alias(d) for x, d in joined.items()], *[F.col(x).alias(f"__to_{d}") for x, d in added.items()])
-            if not r.key or not set(r.key) <= {*joined, *added}:  # a key that is there whole has one row anyway
+            if not set(r.key or r.columns) <= {*joined, *added}:  # a key that is there whole has one row anyway
                 table = table.distinct()
         out = []
         for t in self.settled(c):
@@ -243,7 +257,8 @@ class Compiler:
                 frame = frame.join(table, list(over))
                 frame = frame.select(*keep, *[F.col(f"__to_{d}").alias(d) for d in added.values()], *t.labels, "v")
             frame = frame.select(*dims, *t.labels, "v")
-            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names, t.kind == "const"))
+            kept = t.whole and by is None and all(self.a.sizes[d] for d in over)
+            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names, t.kind == "const", kept, t.risky))
         return Compiled(out)
 
     def relation_walk(self, by) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
@@ -275,7 +290,7 @@ class Compiler:
                 out.append(t)
                 continue
             frame, dims = self.pull(self.spread(t, self.landed(by)).frame, self.p.ordered((*t.dims, *self.landed(by))), by)
-            out.append(Term(t.kind, dims, frame, t.plain, t.names))
+            out.append(Term(t.kind, dims, frame, t.plain, t.names, risky=t.risky))
             if t.plain:  # a read that finds no row is absent
                 there.append((frame.select(*dims), dims))
         return Compiled(out, there)
@@ -328,7 +343,7 @@ class Compiler:
         for t in c.terms:
             t = self.spread(t, (along,)) if t.kind != "const" or along in t.dims else self._lacks(node, along)
             frame, dims = self.stepped(node, t.frame, t.dims, along, [*t.labels, "v"])
-            out.append(Term(t.kind, dims, frame, t.plain, t.names))
+            out.append(Term(t.kind, dims, frame, t.plain, t.names, whole=t.whole and edge == Text("wrap") and node.get("within") is None and dims == t.dims, risky=t.risky))
         every = self.a.dimension(along).select(along)
         source, source_dims = self.stepped(node, every, (along,), along, [])  # where a walk can come from
         ungrouped = (self.orders(node, along)[0].select(along), (along,)) if node.get("within") is not None else None
@@ -356,7 +371,7 @@ class Compiler:
                 dims = self.p.ordered((*source_dims, *others))
                 spread = vacated.crossJoin(self.a.product(others)) if others else vacated
                 out.append(Term("const", dims, spread.select(*dims, F.lit(float(value)).alias("v")), False))
-            out = [Term(t.kind, t.dims, t.frame, False, t.names) for t in out]
+            out = [replace(t, plain=False) for t in out]
         return Compiled(out, there)
 
     def _lacks(self, node: Call, along: str):
@@ -368,7 +383,7 @@ class Compiler:
         for t in self.settled(c):
             t = self.spread(t, (along,)) if t.kind != "const" or along in t.dims else self._lacks(node, along)
             frame, dims = self.stepped(node, t.frame, t.dims, along, [*t.labels, "v"], many=True)
-            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names))
+            out.append(Term(t.kind, dims, self.filled(frame, dims) if t.kind == "const" else frame, False, t.names, risky=t.risky))
         there = [(self.orders(node, along)[0].select(along), (along,))] if node.get("within") is not None else []
         return Compiled(out, there)
 
@@ -388,7 +403,7 @@ class Compiler:
             c = self.expression(e)
             for t in c.terms:
                 s = self.spread(t, keys)
-                terms.append(Term(s.kind, s.dims, self.join(s.frame, inside, keys, "left_semi"), False, t.names))
+                terms.append(Term(s.kind, s.dims, self.join(s.frame, inside, keys, "left_semi"), False, t.names, risky=t.risky))
             for frame, ks in c.presences:
                 dims = self.p.ordered((*ks, *keys))
                 product = self.a.product(dims)

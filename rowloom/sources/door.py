@@ -7,9 +7,12 @@ Relation:   (<columns>...)
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +21,12 @@ from rowloom.plans.spec import Parameter, Program
 
 LABEL = {"int": "bigint", "float": "double", "str": "string", "datetime": "timestamp_ntz"}
 VALUE = {"float": "double", "int": "bigint", "bool": "boolean", "str": "string"}
+_KIND = {"int": T.LongType(), "float": T.DoubleType(), "str": T.StringType()}
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-#: Dimension tables of at most so many labels are broadcast; larger ones are left to the optimiser.
-BROADCAST_LABELS = 1_000_000
+#: Dimension tables of at most so many bytes are broadcast; larger ones are left to the optimiser.
+BROADCAST_BYTES = 64 << 20
+#: Labels without positions are numbered on the driver up to so many, beyond that by ranges.
+DRIVER_LABELS = 100_000
 
 
 @dataclass
@@ -34,10 +40,12 @@ class Attached:
     relations: dict[str, DataFrame] = field(default_factory=dict)
     parameters: dict[str, DataFrame] = field(default_factory=dict)
     given: dict[str, DataFrame] = field(default_factory=dict)  # coordinates given, where gaps were filled
+    bytes: dict[str, int] = field(default_factory=dict)  # of each dimension's labels and positions
+    finite: set[str] = field(default_factory=set)  # parameters without an infinite value
 
     def dimension(self, name: str) -> DataFrame:
         table = self.dimensions[name]
-        return F.broadcast(table) if self.sizes[name] <= BROADCAST_LABELS else table
+        return F.broadcast(table) if self.bytes[name] <= BROADCAST_BYTES else table
 
     def one_row(self) -> DataFrame:
         return self.spark.range(1).select()
@@ -83,24 +91,55 @@ def _missing(df: DataFrame, columns: list[str], what: str) -> None:
         raise DataError(f"{what}: no column {', '.join(gone)}; it has {', '.join(df.columns)}")
 
 
-def _index(spark: SparkSession, program: Program, name: str, source) -> DataFrame:
+def _numbered(labels: DataFrame, name: str) -> DataFrame:
+    """Labels with their place in their own order, by equal ranges: no window covers more than one range, and only counts reach the driver."""
+    dealt = labels.repartitionByRange(max(2, labels.rdd.getNumPartitions()), name).select(name, F.spark_partition_id().alias("__part")).persist()
+    counts = {r[0]: r[1] for r in dealt.groupBy("__part").count().collect()}
+    offsets, total = [], 0
+    for k in sorted(counts):
+        offsets.append((k, total))
+        total += counts[k]
+    before = labels.sparkSession.createDataFrame(offsets, "__part int, __before bigint")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(name)) - 1
+    return dealt.join(F.broadcast(before), "__part").select(name, (F.col("__before") + rank).cast("bigint").alias("ord"))
+
+
+def _listed(spark: SparkSession, name: str, kind, labels: list) -> tuple[DataFrame, int, int]:
+    """A dimension from labels in order, with its size and bytes; checked without a job."""
+    if None in labels or len({*labels}) < len(labels):
+        raise DataError(f"dimension {name}: a label is null or there twice")
+    size = sum(len(x.encode()) + 8 if isinstance(x, str) else 16 for x in labels)
+    return spark.createDataFrame([(x, i) for i, x in enumerate(labels)], T.StructType([T.StructField(name, kind), T.StructField("ord", T.LongType())])), len(labels), size
+
+
+def _index(spark: SparkSession, program: Program, name: str, source) -> tuple[DataFrame, int, int]:
+    """(labels with ord, how many, their bytes)."""
     d = program.dimensions[name]
-    if isinstance(source, (list, tuple, range)):
-        rows = [(x, i) for i, x in enumerate(source)]
-        return spark.createDataFrame(rows, f"`{name}` {LABEL[d.dtype] if d.dtype != 'datetime' else 'string'}, ord bigint").withColumn(name, F.col(name).cast(LABEL[d.dtype]))
     if hasattr(source, "iloc") or isinstance(source, dict):
         labels = list(source[name]) if name in source else list(source.iloc[:, 0] if source.ndim > 1 else source)
-        return _index(spark, program, name, [x.item() if hasattr(x, "item") else str(x) if d.dtype in ("str", "datetime") else x for x in labels])
+        source = [x.item() if hasattr(x, "item") else str(x) if d.dtype in ("str", "datetime") else x for x in labels]
+    if isinstance(source, (list, tuple, range)):
+        made, n, size = _listed(spark, name, _KIND["str" if d.dtype == "datetime" else d.dtype], [float(x) if d.dtype == "float" and isinstance(x, int) else str(x) if d.dtype == "datetime" and x is not None else x for x in source])
+        return made.withColumn(name, F.col(name).cast(LABEL[d.dtype])), n, size
     df = _frame(spark, source, [name])
     _missing(df, [name], f"dimension {name}")
+    label = F.col(name).cast(LABEL[d.dtype])
+    width = F.octet_length(F.col(name)) + 8 if d.dtype == "str" else F.lit(16)
     # a DataFrame has no row order: a column ord gives it, else labels are in their own order
     if "ord" in df.columns:
-        return df.select(F.col(name).cast(LABEL[d.dtype]), F.col("ord").cast("bigint"))
-    labels = df.select(F.col(name).cast(LABEL[d.dtype]))
-    rows = [r[0] for r in labels.orderBy(name).collect()] if df.count() <= BROADCAST_LABELS else None
-    if rows is None:
-        raise DataError(f"dimension {name}: give a large dimension a column ord")
-    return spark.createDataFrame([(x, i) for i, x in enumerate(rows)], T.StructType([labels.schema[name], T.StructField("ord", T.LongType())]))
+        table = df.select(label, F.col("ord").cast("bigint"))
+    else:
+        labels = df.select(label)
+        few = [r[0] for r in labels.limit(DRIVER_LABELS + 1).collect()]
+        if len(few) <= DRIVER_LABELS:
+            return _listed(spark, name, labels.schema[name].dataType, few if None in few else sorted(few))
+        table = _numbered(labels, name)
+    n, labels, orders, nulls, first, last, size = table.agg(F.count("*"), F.countDistinct(name), F.countDistinct("ord"), F.count(F.when(F.col(name).isNull(), 1)), F.min("ord"), F.max("ord"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if nulls or labels < n or orders < n:
+        raise DataError(f"dimension {name}: a label is null or there twice")
+    if n and (first, last) != (0, n - 1):
+        raise DataError(f"dimension {name}: ord must count the labels from 0; it runs from {first} to {last} over {n} labels")
+    return table, n, size
 
 
 def _spread(a: Attached, p: Parameter, source) -> DataFrame | None:
@@ -132,15 +171,39 @@ def _first(rows: DataFrame, columns) -> str:
     return ", ".join(f"{c}={v!r}" for c, v in r[0].asDict().items()) if r and columns else ""
 
 
-def _check_labels(a: Attached, df: DataFrame, columns: dict[str, str], what: str) -> None:
-    for c, d in columns.items():
-        stray = df.select(c).join(a.dimension(d).select(F.col(d).alias("__label")), F.col(c) == F.col("__label"), "left_anti")
-        if found := _first(stray, [c]):
-            raise DataError(f"{what}: {found} is no label of {d}")
+def _probe(a: Attached, name: str, df: DataFrame, keys: tuple[str, ...], labels: dict[str, str], bad) -> DataFrame:
+    """One row of facts about a table: rows, keys, rows that are bad, rows with an infinite value, rows with a stray label.
+
+    Labels are looked up in the broadcast dimensions on the way to the one
+    aggregate, so a table is read once, whatever is asked of it.
+    """
+    seen, strays = df, F.lit(False)
+    for i, (c, d) in enumerate(labels.items()):
+        seen = seen.join(a.dimension(d).select(F.col(d).alias(f"__l{i}")), F.col(c) == F.col(f"__l{i}"), "left")
+        strays = strays | F.col(f"__l{i}").isNull()
+    boundless = (F.abs("value") == float("inf")) if "value" in df.columns and isinstance(df.schema["value"].dataType, T.DoubleType) else F.lit(False)
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    facts = [F.count("*").alias("n"), count(bad).alias("bad"), count(boundless).alias("inf"), count(strays).alias("strays")]
+    if keys:
+        seen = seen.groupBy(*keys).agg(*facts)
+        return seen.agg(F.lit(name).alias("name"), *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in ("n", "bad", "inf", "strays")], F.count("*").alias("keys"))
+    return seen.agg(F.lit(name).alias("name"), *facts, F.least(F.count("*"), F.lit(1)).cast("bigint").alias("keys"))
+
+
+def _stray(a: Attached, df: DataFrame, labels: dict[str, str]) -> str:
+    """The first label that no dimension has, and which it should be of."""
+    for c, d in labels.items():
+        beyond = df.select(c).join(a.dimension(d).select(F.col(d).alias("__label")), F.col(c) == F.col("__label"), "left_anti")
+        if found := _first(beyond, [c]):
+            return f"{found} is no label of {d}"
+    return "a label is of no dimension"
 
 
 def attach(spark: SparkSession, program: Program, sources: dict, check: bool = True) -> Attached:
-    """Read and check the tables of all declarations."""
+    """Read and check the tables of all declarations: one look at each dimension, all at a time, and one job for all other tables.
+
+    Details of what is wrong are looked up only where something is.
+    """
     a = Attached(spark, program)
     known = {*program.dimensions, *program.relations, *program.parameters}
     for name in sources:
@@ -149,54 +212,69 @@ def attach(spark: SparkSession, program: Program, sources: dict, check: bool = T
     for name in program.dimensions:
         if name not in sources:
             raise DataError(f"no labels for dimension {name}")
-        a.dimensions[name] = _index(spark, program, name, sources[name])
-        n, labels, orders, nulls = a.dimensions[name].agg(F.count("*"), F.countDistinct(name), F.countDistinct("ord"), F.count(F.when(F.col(name).isNull(), 1))).first()
-        if nulls or labels < n or orders < n:
-            raise DataError(f"dimension {name}: a label is null or there twice")
-        a.sizes[name] = n
+    with ThreadPoolExecutor(8) as pool:  # what each waits for is a small job
+        found = pool.map(inheritable_thread_target(spark)(lambda name: _index(spark, program, name, sources[name])), program.dimensions)
+        for name, (table, n, size) in zip(program.dimensions, found, strict=True):
+            a.dimensions[name], a.sizes[name], a.bytes[name] = table, n, size
+    probes: list[DataFrame] = []
     for name, r in program.relations.items():
         if name not in sources:
             raise DataError(f"no table for relation {name}")
         df = _frame(spark, sources[name], [*r.columns])
         _missing(df, [*r.columns], f"relation {name}")
-        df = df.select(*[F.col(c).cast(LABEL[program.dimensions[d].dtype]) for c, d in r.columns.items()])
-        if check:
-            key = r.key or tuple(r.columns)
-            n, distinct, nulls = df.agg(F.count("*"), F.countDistinct(F.struct(*key)), F.count(F.when(sum((F.col(c).isNull().cast("int") for c in r.columns), F.lit(0)) > 0, 1))).first()
-            if nulls or distinct < n:
-                raise DataError(f"relation {name}: a null, or a key that is there twice")
-            _check_labels(a, df, r.columns, f"relation {name}")
-            if r.missing == "refused" and r.key:
-                gap = a.product(tuple(r.columns[c] for c in r.key)).join(df.select(*[F.col(c).alias(r.columns[c]) for c in r.key]), [r.columns[c] for c in r.key], "left_anti")
-                if found := _first(gap, gap.columns):
-                    raise DataError(f"relation {name}: no row for {found}")
-        a.relations[name] = df
+        a.relations[name] = df.select(*[F.col(c).cast(LABEL[program.dimensions[d].dtype]) for c, d in r.columns.items()])
+        null = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in r.columns])
+        probes.append(_probe(a, name, a.relations[name], r.key or tuple(r.columns), r.columns, null))
     for name, p in program.parameters.items():
         if name not in sources:
             if not isinstance(p.missing, (int, float)) or isinstance(p.missing, bool) and p.dtype != "bool":
                 raise DataError(f"no values for parameter {name}")
             a.parameters[name] = a.product(p.dims).select(*p.dims, F.lit(p.missing).cast(VALUE[p.dtype]).alias("value"))
+            a.finite.add(name)
             continue
-        df = _parameter(a, p, sources[name])
-        if check:
-            bad = F.col("value").isNull() | (F.isnan("value") if p.dtype == "float" else F.lit(False))
-            coordinate = F.struct(*p.dims) if p.dims else F.lit(1)
-            n, distinct, nulls = df.agg(F.count("*"), F.countDistinct(coordinate), F.count(F.when(bad, 1))).first()
-            if nulls:
-                raise DataError(f"parameter {name}: a value is null or NaN: {_first(df.filter(bad), p.dims)}")
-            if distinct < n:
-                raise DataError(f"parameter {name}: two rows for a coordinate: {_first(df.groupBy(*p.dims).count().filter('count > 1'), p.dims)}")
-            _check_labels(a, df, {d: d for d in p.dims}, f"parameter {name}")
-            if p.missing == "refused" and n < a.size(p.dims):
-                gap = a.product(p.dims).join(df, [*p.dims], "left_anti") if p.dims else None
-                raise DataError(f"parameter {name}: no row for {_first(gap, p.dims) if p.dims else 'the scalar'}")
-        if p.missing not in ("refused", "neutral", "absent"):
-            a.given[name] = df
-            df = a.product(p.dims).join(df, [*p.dims], "left").select(*p.dims, F.coalesce("value", F.lit(p.missing).cast(VALUE[p.dtype])).alias("value")) if p.dims else df
-        a.parameters[name] = df
+        a.parameters[name] = _parameter(a, p, sources[name])
+        bad = F.col("value").isNull() | (F.isnan("value") if p.dtype == "float" else F.lit(False))
+        probes.append(_probe(a, name, a.parameters[name], p.dims, {d: d for d in p.dims}, bad))
+    if check and probes:
+        for r in reduce(DataFrame.unionByName, probes).collect():
+            _judge(a, r)
+    for name, p in program.parameters.items():
+        if name in sources and p.missing not in ("refused", "neutral", "absent"):
+            df = a.given[name] = a.parameters[name]
+            if p.dims:
+                a.parameters[name] = a.product(p.dims).join(df, [*p.dims], "left").select(*p.dims, F.coalesce("value", F.lit(p.missing).cast(VALUE[p.dtype])).alias("value"))
     return a
 
 
+def _judge(a: Attached, facts) -> None:
+    """Refuse a table that its facts speak against, and say where."""
+    name = facts["name"]
+    if name in a.program.relations:
+        r, df = a.program.relations[name], a.relations[name]
+        if facts["bad"] or facts["keys"] < facts["n"]:
+            raise DataError(f"relation {name}: a null, or a key that is there twice")
+        if facts["strays"]:
+            raise DataError(f"relation {name}: {_stray(a, df, r.columns)}")
+        dims = tuple(r.columns[c] for c in r.key)
+        if r.missing == "refused" and r.key and facts["n"] < a.size(dims):
+            gap = a.product(dims).join(df.select(*[F.col(c).alias(r.columns[c]) for c in r.key]), [*dims], "left_anti")
+            raise DataError(f"relation {name}: no row for {_first(gap, gap.columns)}")
+        return
+    p, df = a.program.parameters[name], a.parameters[name]
+    if facts["bad"]:
+        bad = F.col("value").isNull() | (F.isnan("value") if p.dtype == "float" else F.lit(False))
+        raise DataError(f"parameter {name}: a value is null or NaN: {_first(df.filter(bad), p.dims)}")
+    if facts["keys"] < facts["n"]:
+        raise DataError(f"parameter {name}: two rows for a coordinate: {_first(df.groupBy(*p.dims).count().filter('count > 1'), p.dims)}")
+    if facts["strays"]:
+        raise DataError(f"parameter {name}: {_stray(a, df, {d: d for d in p.dims})}")
+    if p.missing == "refused" and facts["n"] < a.size(p.dims):
+        gap = _first(a.product(p.dims).join(df, [*p.dims], "left_anti"), p.dims) if p.dims else "the scalar"
+        raise DataError(f"parameter {name}: no row for {gap}")
+    if not facts["inf"]:
+        a.finite.add(name)
+
+
 def tidy(a: Attached) -> dict[str, DataFrame]:
     """The attached tables under their names; dimensions with their position."""
     return {**a.dimensions, **a.relations, **a.parameters}

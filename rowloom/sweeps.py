@@ -118,7 +118,7 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
         if frames[n] is None and not isinstance(s, (int, float, str, bool)):
             columns = [n] if n in p.dimensions else [*p.relations[n].columns] if n in p.relations else [*p.parameters[n].dims, "value"]
             if n in p.parameters and isinstance(s, (list, tuple)) and list(p.parameters[n].dims) == [axis.dim]:  # values by position
-                labels = [r[0] for r in door._index(spark, p, axis.dim, sources[axis.dim]).orderBy("ord").select(axis.dim).collect()]
+                labels = [r[0] for r in door._index(spark, p, axis.dim, sources[axis.dim])[0].orderBy("ord").select(axis.dim).collect()]
                 frames[n] = spark.createDataFrame([*zip(labels, s, strict=True)], [axis.dim, "value"])
                 continue
             try:
@@ -145,7 +145,7 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
             raise LanguageError(f"{axis.dim} isn't an ordered dimension")
         if not axis.carry and not axis.lookahead and (seams := _coupled(p, axis.dim)):
             raise LanguageError(f"{', '.join(seams)} walk along {axis.dim}; windows need lookahead or carry")
-        index = door._index(spark, p, axis.dim, sources[axis.dim])
+        index = door._index(spark, p, axis.dim, sources[axis.dim])[0]
         owned = windows(index, axis.dim, axis.steps, axis.lookahead).persist()
         slices = [(r[0], owned.filter(F.col("window") == r[0])) for r in owned.select("window").distinct().orderBy("window").collect()]
         key = "window"
