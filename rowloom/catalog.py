@@ -19,6 +19,8 @@ from rowloom.plans.assembly import Handoff, build, diagnostics
 from rowloom.plans.compiler import Compiler
 from rowloom.plans.spec import program
 from rowloom.functions.formula import parse
+from rowloom.errors import ModelError
+from rowloom.sinks import text
 from rowloom.sources import door
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +44,9 @@ SPEC = {
         "part_brand": {"key": "part", "values": "brand"},
         "month_year": {"key": "month", "values": "year"},
         "supplies": {"columns": ["supplier", "part"]},
+        "cust_place": {"key": "customer", "values": ["segment", "nation"]},
+        "cust_other": {"key": "customer", "values": {"other": "nation"}},
+        "month_first": {"key": "month", "values": {"first": "month"}},
     },
     "parameters": {
         "acctbal": {"dims": ["customer"]},
@@ -103,7 +108,10 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "nation_region": t["nation"].select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")),
         "part_brand": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")),
         "month_year": years,
-        "supplies": t["lineitem"].select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).distinct(),
+        "supplies": t["lineitem"].select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).distinct().persist(),
+        "cust_place": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")),
+        "cust_other": t["customer"].select(F.col("c_custkey").alias("customer"), F.pmod("c_custkey", F.lit(25)).alias("other")),
+        "month_first": years.join(years.groupBy("year").agg(F.min("month").alias("first")), "year").select("month", "first"),
         "acctbal": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("value")),
         "supbal": t["supplier"].select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("value")),
         "price": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("value")),
@@ -299,3 +307,241 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["q_warehouse_union"] = _runs
 ORACLE_SQL["q_warehouse_union"] = "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region, 'a' AS run_id FROM nation UNION ALL SELECT r_regionkey, r_name, NULL, 'b' FROM region"
+
+
+# totals of several terms, absence, relations over one dimension twice and onto a pair
+
+_expression("q_factor_totalled", "price size", "(price + size - 1) * (size + 2)", "SELECT p_partkey AS part, round((p_retailprice + p_size - 1) * (p_size + 2), 4) AS value FROM part")
+EVERY_SEGMENT = "p AS (SELECT segment, CAST(n_nationkey AS BIGINT) AS nation FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer) CROSS JOIN nation)"
+_expression("q_divisor_added_up", "seg_bal", "1000 / (seg_bal + 1)", f"WITH {SEGMENTS}, {EVERY_SEGMENT} SELECT segment, nation, round(1000 / (coalesce(v, 0.0) + 1), 6) AS value FROM p LEFT JOIN s USING (segment, nation)", 6)
+_expression("q_power_added_up", "seg_bal", "(seg_bal / 1000 - 1) ** 2", f"WITH {SEGMENTS}, {EVERY_SEGMENT} SELECT segment, nation, round((coalesce(v, 0.0) / 1000 - 1) * (coalesce(v, 0.0) / 1000 - 1), 4) AS value FROM p LEFT JOIN s USING (segment, nation)")
+_expression("q_absence_before_sum", "seg_abs", "sum(seg_abs + 1, over=segment)", f"WITH {SEGMENTS} SELECT CAST(n_nationkey AS BIGINT) AS nation, round(coalesce(sum(v + 1), 0.0), 2) AS value FROM nation LEFT JOIN s ON nation = n_nationkey GROUP BY 1", 2)
+_expression("q_at_self_map", "sales month_first", "sales - at(sales, by=month_first[first])", f"WITH {MONTHS} SELECT t.month, round(t.v - f.v, 2) AS value FROM d t JOIN (SELECT year, min(month) AS first FROM d GROUP BY 1) y USING (year) JOIN d f ON f.month = y.first", 2)
+_expression("q_sum_self_map", "sales month_first", "sum(sales, over=month, by=month_first[first])", f"WITH {MONTHS}, g AS (SELECT min(month) AS month, sum(v) AS v FROM d GROUP BY year) SELECT d.month, round(coalesce(g.v, 0.0), 2) AS value FROM d LEFT JOIN g USING (month)", 2)
+_expression("q_sum_onto_pair", "acctbal cust_place", "sum(acctbal, over=customer, by=cust_place[segment, nation])", f"WITH {EVERY_SEGMENT} SELECT segment, nation, round(coalesce(sum(c_acctbal), 0.0), 2) AS value FROM p LEFT JOIN customer ON c_mktsegment = segment AND c_nationkey = nation GROUP BY 1, 2", 2)
+_expression("q_sum_back_by_parameter", "sales month_year lag", "sum_back(sales, along=month, window=lag, within=month_year[year])", f"WITH {MONTHS} SELECT t.month, round(coalesce(sum(s.v), 0.0), 2) AS value FROM d t LEFT JOIN d s ON s.year = t.year AND t.month - s.month BETWEEN 0 AND t.year % 3 - 1 GROUP BY 1", 2)
+_mask("q_mask_relation_pair", "cust_nation cust_other", "cust_nation == cust_other", "SELECT c_custkey AS customer FROM customer WHERE c_nationkey = c_custkey % 25")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product of two dimensions cut by one semi-join per conjunct."""
+    spec, given = _model(spark, sf_dir, "supbal nation nation_region")
+    mask = "supbal > 1000 and nation_region == 2 and not nation == 7"
+    return Compiler(door.attach(spark, program(spec), given), values={}).masked(("nation", "supplier"), parse(mask))
+
+
+QUERIES["q_mask_spine"] = _masked
+ORACLE_SQL["q_mask_spine"] = "SELECT CAST(n_nationkey AS BIGINT) AS nation, s_suppkey AS supplier FROM supplier CROSS JOIN nation WHERE s_acctbal > 1000 AND n_regionkey = 2 AND n_nationkey <> 7"
+
+
+def _variable_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _built(spark, sf_dir, SHIP)
+    return Compiler(h.attached, h.variables).admitted(parse("ship and supbal > 3000"))
+
+
+QUERIES["q_mask_variable"] = _variable_there
+ORACLE_SQL["q_mask_variable"] = "SELECT s_suppkey AS supplier, CAST(n_nationkey AS BIGINT) AS nation FROM supplier CROSS JOIN nation WHERE s_acctbal > 0 AND s_acctbal > 3000"
+
+
+# reads at a made-up solution: column c has the value c mod 7, row r the dual r mod 5
+
+
+def _at_solution(expression: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        h = _built(spark, sf_dir, SHIP, BOTH)
+        values = {n: f.withColumn("v", F.pmod("var", F.lit(7)).cast("double")) for n, f in h.variables.items()}
+        duals = {n: f.withColumn("v", F.pmod("row", F.lit(5)).cast("double")) for n, f in h.constraints.items()}
+        frame, dims = Compiler(h.attached, values=values, duals=duals).value(parse(expression))
+        return frame.select(*dims, F.round("v", 4).alias("value"))
+
+    return query
+
+
+QUERIES["q_primal_read"] = _at_solution("sum(ship, over=supplier) / 10 + 1")
+ORACLE_SQL["q_primal_read"] = f"WITH {SHIPPED} SELECT CAST(n_nationkey AS BIGINT) AS nation, round(sum(col % 7) / 10.0 + 1, 4) AS value FROM x GROUP BY 1"
+QUERIES["q_dual_read"] = _at_solution("dual(capacity) * supbal - use")
+ORACLE_SQL["q_dual_read"] = f"WITH {SHIPPED} SELECT s_suppkey AS supplier, round((k.\"row\" % 5) * u.s_acctbal - u.col % 7, 4) AS value FROM k JOIN u USING (s_suppkey)"
+
+
+def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, given = _model(spark, sf_dir, SHIP, BOTH)
+    return api.Model(spark, spec, given).row("capacity").select("row", "variable", "coordinate", F.round("coeff", 4).alias("coeff"), "sense", "rhs")
+
+
+QUERIES["q_row_spelled_out"] = _spelled
+ORACLE_SQL["q_row_spelled_out"] = f"""WITH {SHIPPED} SELECT k."row", 'ship' AS variable, 'supplier=' || x.s_suppkey || ', nation=' || x.n_nationkey AS coordinate, 1.0::DOUBLE AS coeff, '<=' AS sense, 0.0::DOUBLE AS rhs FROM x JOIN k USING (s_suppkey) UNION ALL SELECT k."row", 'use', 'supplier=' || u.s_suppkey, round(-u.s_acctbal, 4), '<=', 0.0 FROM u JOIN k USING (s_suppkey)"""
+
+
+# whole models of other shapes
+
+
+def _months_model(name: str, more: dict, read: Callable[[Handoff], DataFrame], sql: str, uses: str = "flow sales orders") -> None:
+    """Register a table of a model over months with sections of its own."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spec, given = _model(spark, sf_dir, uses)
+        return read(build(door.attach(spark, program({**spec, **{k: {**spec.get(k, {}), **v} for k, v in more.items()}}), given)))
+
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+_months_model(
+    "q_quad_rows",
+    {"constraints": {"curved": {"dims": ["month"], "expression": "flow * flow - flow * shift(flow, along=month, offset=1) <= sales"}}},
+    lambda h: h.qmatrix,
+    f"WITH {MONTHS} SELECT ord - 1 AS \"row\", ord AS col_l, ord AS col_r, 1.0::DOUBLE AS coeff FROM d WHERE ord > 0 UNION ALL SELECT ord - 1, ord - 1, ord, -1.0 FROM d WHERE ord > 0",
+)
+_months_model(
+    "q_objective_constant",
+    {"objective": {"sense": "maximize", "expression": "sum(flow) - sum(sales) / 1000 + 5"}},
+    lambda h: h.attached.spark.createDataFrame([(h.sense, round(h.constant, 2))], "sense string, constant double"),
+    f"WITH {MONTHS} SELECT 'maximize' AS sense, round(5 - sum(v) / 1000, 2) AS constant FROM d",
+)
+_months_model(
+    "q_piecewise_sos2",
+    {"variables": {"p": {}, "c": {}}, "piecewise": {"curve": {"over": "month", "links": [["p", "sales"], ["c", "orders"]], "method": "sos2"}}},
+    lambda h: h.sos.join(h.matrix.filter("row > 0").select("col", "row", F.round("coeff", 2).alias("coeff")), "col").select("set", "type", "col", "weight", "row", "coeff"),
+    f"WITH {MONTHS}, l AS (SELECT max(ord) + 3 AS p FROM d) SELECT CAST(0 AS BIGINT) AS \"set\", 2 AS type, p + ord AS col, ord + 1 AS weight, CAST(r AS BIGINT) AS \"row\", round(CASE WHEN r = 1 THEN -v ELSE -n END, 2) AS coeff FROM d, l, (VALUES (1), (2)) t(r)",
+)
+_months_model(
+    "q_piecewise_adjacency",
+    {"variables": {"p": {}}, "piecewise": {"curve": {"over": "month", "links": [["p", "sales"], ["p", "orders"]]}}},
+    lambda h: h.rows.groupBy("sense").agg(F.count("*").alias("n"), F.sum("rhs").alias("rhs")),
+    f"WITH {MONTHS} SELECT '==' AS sense, CAST(5 AS BIGINT) AS n, 2.0::DOUBLE AS rhs UNION ALL SELECT '<=', count(*), 0.0 FROM d",
+)
+FLOWS = {"constraints": {"balance": {"dims": ["month"], "expression": "flow - shift(flow, along=month, offset=1) == orders"}}, "objective": {"expression": "sum(flow)"}}
+_months_model(
+    "q_lp_text",
+    FLOWS,
+    lambda h: text.lp_lines(h).select("section", "value"),
+    f"""WITH {MONTHS} SELECT 0 AS section, unnest(['Minimize', ' obj:']) AS value UNION ALL SELECT 1, '+ 1 x' || ord FROM d UNION ALL SELECT 4, 'Subject To'
+        UNION ALL SELECT 5, unnest([' c' || (ord - 1) || ':', '- 1 x' || (ord - 1), '+ 1 x' || ord, ' = ' || CAST(n AS BIGINT)]) FROM d WHERE ord > 0
+        UNION ALL SELECT 6, 'Bounds' UNION ALL SELECT 8, ' 0 <= x' || ord || ' <= +inf' FROM d UNION ALL SELECT 99, 'End'""",
+)
+_months_model(
+    "q_mps_text",
+    FLOWS,
+    lambda h: text.mps_lines(h).select("section", "value"),
+    f"""WITH {MONTHS} SELECT 0 AS section, 'NAME model' AS value UNION ALL SELECT 1, unnest(['ROWS', ' N obj']) UNION ALL SELECT 2, ' E c' || (ord - 1) FROM d WHERE ord > 0 UNION ALL SELECT 4, 'COLUMNS'
+        UNION ALL SELECT 5, ' x' || ord || ' obj 1' FROM d UNION ALL SELECT 5, unnest([' x' || ord || ' c' || (ord - 1) || ' 1', ' x' || (ord - 1) || ' c' || (ord - 1) || ' -1']) FROM d WHERE ord > 0
+        UNION ALL SELECT 6, 'RHS' UNION ALL SELECT 7, ' rhs c' || (ord - 1) || ' ' || CAST(n AS BIGINT) FROM d WHERE ord > 0 UNION ALL SELECT 8, 'BOUNDS' UNION ALL SELECT 99, 'ENDATA'""",
+)
+
+
+def _whole_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of an integer variable that come from data: those within a millionth of a whole number become it."""
+    spec, given = _model(spark, sf_dir, "size price")
+    spec["variables"] = {"lots": {"dims": ["part"], "domain": "integer", "bounds": {"lower": "size / 10", "upper": "size / 10 * 10 + 0.0000001"}}}
+    return build(door.attach(spark, program(spec), given)).cols
+
+
+QUERIES["q_integer_bounds"] = _whole_bounds
+ORACLE_SQL["q_integer_bounds"] = "SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS col, p_size / 10.0 AS lb, CAST(p_size AS DOUBLE) AS ub, 'integer' AS vtype FROM part"
+
+
+# ways to hand tables in
+
+BY_REGION = """
+dimensions:
+  n_nationkey: {dtype: int}
+  r_regionkey: {dtype: int}
+relations:
+  of: {key: n_nationkey, values: {n_regionkey: r_regionkey}}
+expressions:
+  keys: sum(n_nationkey, over=n_nationkey, by=of[n_regionkey])
+"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A specification in YAML, and tables as parquet paths."""
+    nation = f"{sf_dir}/nation.parquet"
+    return api.evaluate(spark, BY_REGION, {"n_nationkey": nation, "r_regionkey": f"{sf_dir}/region.parquet", "of": nation}, "keys", ordered=False)
+
+
+QUERIES["q_yaml_and_paths"] = _paths
+ORACLE_SQL["q_yaml_and_paths"] = "SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, CAST(sum(n_nationkey) AS DOUBLE) AS value FROM nation GROUP BY 1"
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters as a number, a mapping, a sequence, a pandas series and an Arrow table."""
+    import pyarrow as pa
+
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("region")).toPandas().sort_values("region")["region"]
+    spec = {"dimensions": {"region": {"dtype": "int"}}, "parameters": {"k": {}} | {n: {"dims": ["region"]} for n in ("m", "q", "s", "t")}}
+    keys = region.tolist()
+    given = {"region": keys, "k": 3.0, "m": {x: 2.0 * x for x in keys}, "q": [float(x) + 1 for x in keys], "s": (region * 10.0).set_axis(keys), "t": pa.table({"region": keys, "value": [x / 2 for x in keys]})}
+    return api.evaluate(spark, spec, given, "k + m * q - s + t", ordered=False)
+
+
+QUERIES["q_source_shapes"] = _shapes
+ORACLE_SQL["q_source_shapes"] = "SELECT CAST(r_regionkey AS BIGINT) AS region, 3 + 2.0 * r_regionkey * (r_regionkey + 1) - r_regionkey * 10.0 + r_regionkey / 2.0 AS value FROM region"
+
+
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the door refuses, one broken table at a time."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("nation"), F.col("n_regionkey").cast("bigint").alias("region"))
+    spec = {"dimensions": {"nation": {"dtype": "int"}, "region": {"dtype": "int"}}, "relations": {"of": {"key": "nation", "values": "region", "missing": "refused"}}, "parameters": {"a": {"dims": ["nation"]}}}
+    a, keys = nation.select("nation", F.lit(1.0).alias("value")), [r[0] for r in nation.select("region").distinct().collect()]
+    good = {"nation": nation.select("nation"), "region": keys, "of": nation, "a": a}
+    cases = {
+        "none": {},
+        "duplicate label": {"nation": [0, 0]},
+        "null label": {"region": [0, None]},
+        "duplicate coordinate": {"a": a.unionAll(a)},
+        "stray label": {"a": a.withColumn("nation", F.col("nation") + 1)},
+        "null value": {"a": a.withColumn("value", F.expr("CASE WHEN nation = 3 THEN NULL ELSE value END"))},
+        "nan value": {"a": a.withColumn("value", F.expr("CASE WHEN nation = 3 THEN double('NaN') ELSE value END"))},
+        "missing row": {"a": a.filter("nation <> 3")},
+        "wrong type": {"a": a.withColumn("value", F.lit("x"))},
+        "missing column": {"a": a.select("value")},
+        "key twice": {"of": nation.unionAll(nation)},
+        "gap in a relation": {"of": nation.filter("nation <> 3")},
+        "stray label in a relation": {"of": nation.withColumn("region", F.col("region") + 1)},
+        "unknown source": {"b": 1.0},
+    }
+    found = []
+    for case, broken in cases.items():
+        try:
+            door.attach(spark, program(spec), good | broken)
+            found.append((case, False))
+        except ModelError:
+            found.append((case, True))
+    return spark.createDataFrame(found, "broken string, refused boolean")
+
+
+QUERIES["q_refused_tables"] = _refusals
+ORACLE_SQL["q_refused_tables"] = "SELECT unnest(['none', 'duplicate label', 'null label', 'duplicate coordinate', 'stray label', 'null value', 'nan value', 'missing row', 'wrong type', 'missing column', 'key twice', 'gap in a relation', 'stray label in a relation', 'unknown source']) AS broken, broken <> 'none' AS refused"
+
+
+# solved on the driver: small models with answers that SQL can tell
+
+COVER = {"dimensions": {"nation": {"dtype": "int"}}, "parameters": {"need": {"dims": ["nation"]}, "cost": {"dims": ["nation"]}}, "variables": {"buy": {"dims": ["nation"], "bounds": {"lower": 0}}}, "expressions": {"spent": "buy * cost"}, "constraints": {"met": {"dims": ["nation"], "expression": "2 * buy >= need"}}, "objective": {"expression": "sum(spent)"}}
+
+
+def _cover(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("nation"), F.col("n_regionkey").alias("region"))
+    return COVER, {"nation": nation.select("nation"), "need": nation.select("nation", (F.col("nation") + 4).cast("double").alias("value"), "region"), "cost": nation.select("nation", (F.col("region") + 1).cast("double").alias("value"), "region")}
+
+
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec, given = _cover(spark, sf_dir)
+    result = api.solve(spark, spec, given)
+    out = result.primal("buy").withColumnRenamed("value", "buy")
+    for name, frame in (("dual", result.dual("met")), ("reduced_cost", result.reduced_cost("buy")), ("slack", result.slack("met")), ("activity", result.activity("met")), ("spent", result.evaluate("spent"))):
+        out = out.join(frame.select("nation", F.round("value", 6).alias(name)), "nation")
+    return out
+
+
+QUERIES["q_solved"] = _solved
+ORACLE_SQL["q_solved"] = "SELECT CAST(n_nationkey AS BIGINT) AS nation, (n_nationkey + 4) / 2.0 AS buy, (n_regionkey + 1) / 2.0 AS dual, 0.0::DOUBLE AS reduced_cost, 0.0::DOUBLE AS slack, (n_nationkey + 4)::DOUBLE AS activity, (n_nationkey + 4) / 2.0 * (n_regionkey + 1) AS spent FROM nation"
+
+
+def _each_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model per region, over the nations that it has."""
+    spec, given = _cover(spark, sf_dir)
+    given["nation"] = given["need"].select("nation", "region")
+    return sweeps.solve_over(spark, spec, given, sweeps.EachLabel("region")).primal("buy").withColumnRenamed("value", "buy")
+
+
+QUERIES["q_each_label"] = _each_region
+ORACLE_SQL["q_each_label"] = "SELECT n_regionkey AS region, CAST(n_nationkey AS BIGINT) AS nation, (n_nationkey + 4) / 2.0 AS buy FROM nation"
