@@ -10,6 +10,7 @@ product. Only counts reach the driver; the tables stay lazy until a sink asks.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 from functools import reduce
@@ -114,6 +115,10 @@ class Assembly:
         return ranked(placed, "__at", label, self.a.size(dims), start)
 
     def variable(self, v) -> DataFrame:
+        if not self.a.size(v.dims):  # over no label: nothing to compile
+            frame = self.c.masked(v.dims, None, ords=True).withColumn("var", F.lit(0).cast("bigint")).filter(F.lit(False))
+            self.h.variables[v.name], self.h.spans[v.name], self.h.omitted[v.name] = frame, (self.h.n_cols, 0), 0
+            return self.union([], "cols")
         frame, n = self.labelled(self.c.masked(v.dims, v.where, ords=True), v.dims, "var", self.h.n_cols, v.where is None)
         frame = frame.drop("__at").persist()
         self.h.variables[v.name], self.h.spans[v.name] = frame, (self.h.n_cols, n)
@@ -148,6 +153,10 @@ class Assembly:
         return self.h.variables[s.variable].select((at + F.lit(first)).alias("set"), F.lit(s.kind).alias("type"), F.col("var").alias("col"), (F.col(f"ord_{s.along}") + 1).alias("weight"))
 
     def constraint(self, c) -> dict[str, DataFrame]:
+        if not self.a.size(c.dims):  # over no label: nothing to compile
+            self.h.constraints[c.name] = self.c.masked(c.dims, None, ords=True).withColumn("row", F.lit(0).cast("bigint")).filter(F.lit(False))
+            self.h.spans[f"constraint:{c.name}"], self.h.omitted[f"constraint:{c.name}"] = (self.h.n_rows, 0), 0
+            return {}
         left, right = self.c.expression(c.left), self.c.expression(c.right)
         terms = [t for t in left.terms if t.kind != "const"] + [negated(t) for t in right.terms if t.kind != "const"]
         constants = right.of("const") + [negated(t) for t in left.of("const")]
@@ -254,3 +263,46 @@ def diagnostics(h: Handoff) -> dict[str, tuple[float, float] | None]:
 
     bounds = h.cols.select(F.explode(F.array("lb", "ub")).alias("b"))
     return {"matrix": spread(h.matrix, "coeff"), "objective": spread(h.obj, "coeff"), "rhs": spread(h.rows, "rhs"), "bounds": spread(bounds, "b")}
+
+
+def row_starts(h: Handoff) -> DataFrame:
+    """(row, start): the first entry of each row in the matrix by rows; counts of at most 1024 ranges reach the driver."""
+    counted = h.rows.select("row").join(h.matrix.groupBy("row").agg(F.count("*").alias("n")), "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
+    width = max(1, -(-h.n_rows // 1024))
+    dealt = counted.withColumn("__range", F.floor(F.col("row") / width).cast("bigint"))
+    sums, before, total = {r[0]: r[1] for r in dealt.groupBy("__range").agg(F.sum("n")).collect()}, [], 0
+    for k in sorted(sums):
+        before.append((k, total))
+        total += sums[k]
+    small = h.attached.spark.createDataFrame(before, "__range bigint, __before bigint")
+    ahead = Window.partitionBy("__range").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(small), "__range").select("row", (F.col("__before") + F.coalesce(F.sum("n").over(ahead), F.lit(0))).cast("bigint").alias("start"))
+
+
+def structure(h: Handoff) -> str:
+    """A digest of what new numbers may not change in a loaded model: counts, sense, types, comparisons, where the entries sit, sets, and quadratic rows whole.
+
+    Bounds, costs, right sides of linear rows and coefficients aren't in it.
+    The digest is a sum of row hashes, so it needs no order and one pass.
+    """
+    quadratic = h.qmatrix.select("row").distinct()
+    parts = {
+        "cols": h.cols.select("col", "vtype"),
+        "rows": h.rows.select("row", "sense"),
+        "matrix": h.matrix.select("row", "col"),
+        "quad": h.quad.select("col_l", "col_r"),
+        "qmatrix": h.qmatrix,
+        "qrows": h.rows.join(quadratic, "row", "left_semi").select("row", "rhs"),
+        "sos": h.sos,
+    }
+    sums = [df.agg(F.lit(n).alias("n"), F.count("*").alias("rows"), F.sum(F.xxhash64(F.lit(n), *df.columns).cast("decimal(38,0)")).cast("string").alias("sum")) for n, df in parts.items()]
+    found = sorted(tuple(map(str, r)) for r in reduce(DataFrame.unionByName, sums).collect())
+    return hashlib.sha256(json.dumps([h.n_cols, h.n_rows, h.sense, found]).encode()).hexdigest()
+
+
+def sparse_parameters(a: Attached) -> DataFrame:
+    """(parameter, coordinates, rows, missing) of the parameters that lack rows as given."""
+    counted = [(a.given.get(n, a.parameters[n])).agg(F.lit(n).alias("parameter"), F.lit(a.size(p.dims)).cast("bigint").alias("coordinates"), F.count("*").alias("rows")) for n, p in a.program.parameters.items() if p.dims]
+    if not counted:
+        return a.spark.createDataFrame([], "parameter string, coordinates bigint, rows bigint, missing bigint")
+    return reduce(DataFrame.unionByName, counted).withColumn("missing", F.col("coordinates") - F.col("rows")).filter("missing > 0")

@@ -312,6 +312,9 @@ def _piecewise(spec: dict, p: Program) -> dict:
 def program(source) -> Program:
     """Parse, check and expand a specification; no data is read."""
     spec = load(source)
+    if any((spec.get("given") or {}).values()):
+        names = sorted(n for section in spec["given"].values() for n in (section or {}))
+        raise LanguageError(f"the specification reads {', '.join(names)} as given, so it is a fragment; merge it with those that declare them")
     for section in spec:
         if section not in SECTIONS:
             near = get_close_matches(section, SECTIONS, 1)
@@ -418,3 +421,78 @@ def _check(p: Program) -> None:
         inside("the objective", p.objective, ())
         p.degree(p.objective)
 
+
+
+def merge(fragments: list) -> dict:
+    """One specification of several fragments.
+
+    A name may stand in several fragments if they agree on it. An expression
+    with `adds_to: name` is a term of that name: a name that fragments read
+    under `given: expressions:` and none declares is the sum of its terms, zero
+    without any. What nobody declares stays given, so the result may be a
+    fragment too.
+    """
+    made: dict = {}
+    given: dict[str, dict] = {}
+    terms: dict[str, list[str]] = {}
+    for fragment in map(load, fragments):
+        for section, content in fragment.items():
+            if section == "given":
+                for kind, names in (content or {}).items():
+                    given.setdefault(kind, {}).update(names or {})
+            elif section in ("version", "description", "notation") or not isinstance(content, dict):
+                made.setdefault(section, content)
+            elif section == "objective":
+                if made.get(section, content) != content:
+                    raise SchemaError("two fragments have an objective")
+                made[section] = content
+            else:
+                own = made.setdefault(section, {})
+                for name, value in content.items():
+                    if section == "expressions" and isinstance(value, dict) and "adds_to" in value:
+                        value = dict(value)
+                        terms.setdefault(value.pop("adds_to"), []).append(name)
+                    if own.get(name, value) != value:
+                        raise SchemaError(f"{section}: fragments differ on {name}")
+                    own[name] = value
+    expressions = made.setdefault("expressions", {})
+    for name in dict.fromkeys([*given.get("expressions", {}), *terms]):
+        if name in expressions and name in terms:
+            raise SchemaError(f"{name} is declared and added to")
+        if name not in expressions:
+            expressions[name] = {"expression": " + ".join(terms.get(name, ["0"]))}
+    left = {kind: {n: v for n, v in names.items() if n not in (made.get(kind) or {})} for kind, names in given.items()}
+    return made | ({"given": left} if any(left.values()) else {})
+
+
+def without_sets(source) -> dict:
+    """The specification with special-ordered sets, those of curves included, written out in binaries.
+
+    Of a set of type 1 one member may differ from zero, of type 2 two
+    neighbours; members need finite bounds, which the rows are made of.
+    """
+    spec = load(source)
+    p = program(spec)
+    if spec.get("piecewise"):
+        spec = {**_piecewise(spec, p)}
+        spec.pop("piecewise")
+    spec = {**spec, "variables": dict(spec.get("variables") or {}), "constraints": dict(spec.get("constraints") or {})}
+    for name, s in p.sos.items():
+        bounds = spec["variables"][s.variable].get("bounds") or {}
+        v = p.variables[s.variable]
+        if v.upper is None and v.domain != "binary":
+            raise LanguageError(f"sos {name}: {s.variable} has no upper bound to make rows of")
+        upper, lower, chosen = bounds.get("upper", 1), bounds.get("lower", 0), f"{name}_chosen"
+        rest = [d for d in v.dims if d != s.along]
+        may = chosen if s.kind == 1 else f"({chosen} + shift({chosen}, along={s.along}, offset=1, edge=0))"
+        where = (spec["variables"][s.variable] or {}).get("where")
+        cut = {"where": where} if where is not None else {}
+        spec["variables"][chosen] = {"dims": [*v.dims], "domain": "binary"}
+        spec["constraints"][f"{name}_at_most"] = {"dims": [*v.dims], **cut, "expression": f"{s.variable} <= ({upper}) * {may}"}
+        if lower != 0:
+            spec["constraints"][f"{name}_at_least"] = {"dims": [*v.dims], **cut, "expression": f"{s.variable} >= ({lower}) * {may}"}
+        spec["constraints"][f"{name}_one"] = {"dims": rest, "expression": f"sum({chosen}, over={s.along}) <= 1"}
+        if s.kind == 2:
+            spec["constraints"][f"{name}_last"] = {"dims": [*v.dims], "where": f"position({s.along}) == -1", "expression": f"{chosen} == 0"}
+    spec.pop("sos", None)
+    return spec

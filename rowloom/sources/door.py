@@ -79,10 +79,14 @@ def _frame(spark: SparkSession, source, columns: list[str]) -> DataFrame:
         if getattr(source.index, "nlevels", 1) > 1:
             raise DataError("a series with several index levels: give a table with named columns")
         return spark.createDataFrame(source.to_frame(columns[-1]).rename_axis(columns[0]).reset_index())
-    if hasattr(source, "to_pandas") and not hasattr(source, "iloc"):
-        source = source.to_pandas()
+    if hasattr(source, "coords") and hasattr(source, "dims"):
+        raise DataError("a labelled array: give a table with one row per coordinate, for instance its to_series().reset_index()")
     if hasattr(source, "columns") and hasattr(source, "iloc"):
         return spark.createDataFrame(source)
+    if hasattr(source, "__arrow_c_stream__") or hasattr(source, "to_arrow_table"):  # Arrow, polars and DuckDB tables, whatever made them
+        import pyarrow as pa
+
+        return spark.createDataFrame(source if isinstance(source, pa.Table) else pa.table(source) if hasattr(source, "__arrow_c_stream__") else source.to_arrow_table())
     raise DataError(f"can't read a {type(source).__name__} as a table of {', '.join(columns)}")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.api import Model, Result
-from rowloom.errors import DataError, LanguageError, NoSolutionError
+from rowloom.api import OUTPUTS, RECORD, Model, Result, Saved, load_result
+from rowloom.errors import DataError, LanguageError, LayoutError, NoSolutionError
 from rowloom.functions.formula import Call, names
 from rowloom.plans.spec import load, program
 from rowloom.sources import door
@@ -57,7 +59,7 @@ class Sweep:
     """Answers of all slices: result tables with the slice's key in front."""
 
     key: str
-    results: dict[object, Result]
+    results: dict[object, Result | Saved]
     axis: object
     owned: DataFrame | None = None
 
@@ -76,18 +78,41 @@ class Sweep:
             return frame
         return stitched(frame, self.owned, self.axis.dim).drop(self.key)
 
+    def read(self, kind: str, name: str, per_window: bool = False) -> DataFrame:
+        """A table of every slice: primal, dual, expression, or a kind of OUTPUTS that the slices carry."""
+        if kind not in ("primal", "dual", "expression", *OUTPUTS):
+            raise NoSolutionError(f"no {kind}")
+        return self._stitch(self._gathered(lambda r: r.evaluate(name) if kind == "expression" and isinstance(r, Result) else getattr(r, kind)(name)), per_window)
+
     def primal(self, name: str, per_window: bool = False) -> DataFrame:
-        return self._stitch(self._gathered(lambda r: r.primal(name)), per_window)
+        return self.read("primal", name, per_window)
 
     def dual(self, name: str, per_window: bool = False) -> DataFrame:
-        return self._stitch(self._gathered(lambda r: r.dual(name)), per_window)
+        return self.read("dual", name, per_window)
+
+    def reduced_cost(self, name: str, per_window: bool = False) -> DataFrame:
+        return self.read("reduced_cost", name, per_window)
+
+    def slack(self, name: str, per_window: bool = False) -> DataFrame:
+        return self.read("slack", name, per_window)
+
+    def activity(self, name: str, per_window: bool = False) -> DataFrame:
+        return self.read("activity", name, per_window)
 
     def evaluate(self, expression: str, per_window: bool = False) -> DataFrame:
-        return self._stitch(self._gathered(lambda r: r.evaluate(expression)), per_window)
+        return self.read("expression", expression, per_window)
 
     @property
     def records(self) -> list[dict]:
-        return [{self.key: k, "status": r.status, "termination_condition": r.termination_condition, "objective": r.answer.objective} for k, r in self.results.items()]
+        rows = {k: dict(zip((f.split()[0] for f in RECORD.split(", ")), r.record, strict=True)) for k, r in self.results.items()}
+        return [{self.key: k} | r for k, r in rows.items()]
+
+    def save(self, path: str, outputs: tuple[str, ...] = ()) -> str:
+        """Every slice's answer below <path>/slice=<key>."""
+        for k, r in self.results.items():
+            if isinstance(r, Result):
+                r.save(f"{path}/slice={k}", outputs)
+        return path
 
 
 def _cut(sources: dict, frames: dict[str, DataFrame], keep: DataFrame, column: str, drop: bool) -> dict:
@@ -95,7 +120,7 @@ def _cut(sources: dict, frames: dict[str, DataFrame], keep: DataFrame, column: s
     out = dict(sources)
     for name, df in frames.items():
         if column in df.columns:
-            cut = df.join(F.broadcast(keep.select(column)), column, "left_semi")
+            cut = df.join(keep.select(column), column, "left_semi")
             out[name] = cut.drop(column) if drop else cut
     return out
 
@@ -110,8 +135,43 @@ def _coupled(p, dim: str) -> list[str]:
     return [c.name for c in p.constraints.values() if walks(c.left) or walks(c.right)]
 
 
-def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachWindow) -> Sweep:
-    """Solve the model for every slice, in order; a carried value goes from each slice into the next."""
+@dataclass
+class Slices:
+    """What an axis cuts: the slices' keys with the labels that each keeps, and the sources as frames."""
+
+    spark: SparkSession
+    spec: dict
+    sources: dict
+    axis: EachLabel | EachWindow
+    frames: dict[str, DataFrame]
+    keys: list
+    keep: dict[object, DataFrame]
+    owned: DataFrame | None
+    key: str
+
+    def of(self, k) -> dict:
+        """The sources of one slice."""
+        keep, dim = self.keep[k], self.axis.dim
+        own = _cut(self.sources, self.frames, keep, dim, isinstance(self.axis, EachLabel))
+        if isinstance(self.axis, EachWindow):
+            own[dim] = keep.select(dim, "ord").withColumn("ord", F.col("ord") - F.lit(keep.agg(F.min("ord")).first()[0]))
+        return own
+
+    def carried(self, k, result) -> dict:
+        """Parameters of the next slice from this one's answer."""
+        out, p = {}, program(self.spec)
+        for parameter, expression in self.axis.carry.items():
+            values = result.evaluate(expression)
+            if isinstance(self.axis, EachWindow) and self.axis.dim in values.columns:  # the last label that the window owns
+                seam = self.keep[k].filter("owned").orderBy(F.col("ord").desc()).limit(1).select(self.axis.dim)
+                values = values.join(seam, self.axis.dim, "left_semi").drop(self.axis.dim)
+            dims = p.parameters[parameter].dims
+            # a few values that outlive the slice's model
+            out[parameter] = self.spark.createDataFrame(values.select(*dims, "value").collect(), values.select(*dims, "value").schema) if dims else values.first()["value"]
+        return out
+
+
+def slices(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachWindow) -> Slices:
     spec, p = load(spec), program(spec)
     frames = {n: s if isinstance(s, DataFrame) else None for n, s in sources.items()}
     for n, s in sources.items():
@@ -128,7 +188,6 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
     frames = {n: f for n, f in frames.items() if f is not None}
     if stray := [n for n in axis.carry if n not in p.parameters]:
         raise LanguageError(f"carry: no parameter {stray[0]}")
-    owned = None
     if isinstance(axis, EachLabel):
         if axis.dim in p.dimensions:
             raise LanguageError(f"{axis.dim} is a dimension of the model; EachLabel slices by a column that isn't")
@@ -138,29 +197,81 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
         labels = having[0]
         for f in having[1:]:
             labels = labels.union(f)
-        slices = [(r[0], spark.createDataFrame([(r[0],)], labels.schema)) for r in labels.distinct().orderBy(axis.dim).collect()]
-        key = axis.dim
-    else:
-        if axis.dim not in p.dimensions or not p.dimensions[axis.dim].ordered:
-            raise LanguageError(f"{axis.dim} isn't an ordered dimension")
-        if not axis.carry and not axis.lookahead and (seams := _coupled(p, axis.dim)):
-            raise LanguageError(f"{', '.join(seams)} walk along {axis.dim}; windows need lookahead or carry")
-        index = door._index(spark, p, axis.dim, sources[axis.dim])[0]
-        owned = windows(index, axis.dim, axis.steps, axis.lookahead).persist()
-        slices = [(r[0], owned.filter(F.col("window") == r[0])) for r in owned.select("window").distinct().orderBy("window").collect()]
-        key = "window"
-    results, carried, model = {}, {}, None
-    for k, keep in slices:
-        own = _cut(sources, frames, keep, axis.dim, isinstance(axis, EachLabel)) | carried
-        if isinstance(axis, EachWindow):
-            own[axis.dim] = keep.select(axis.dim, "ord").withColumn("ord", F.col("ord") - F.lit(keep.agg(F.min("ord")).first()[0]))
-        model = Model(spark, spec, own)
-        results[k] = model.solve()
-        for parameter, expression in axis.carry.items():
-            values = results[k].evaluate(expression)
-            if isinstance(axis, EachWindow) and axis.dim in values.columns:  # the last label that the window owns
-                seam = keep.filter("owned").orderBy(F.col("ord").desc()).limit(1).select(axis.dim)
-                values = values.join(seam, axis.dim, "left_semi").drop(axis.dim)
-            dims = p.parameters[parameter].dims
-            carried[parameter] = values.select(*dims, "value") if dims else values.first()["value"]
-    return Sweep(key, results, axis, owned)
+        keep = {r[0]: spark.createDataFrame([(r[0],)], labels.schema) for r in labels.distinct().orderBy(axis.dim).collect()}
+        return Slices(spark, spec, sources, axis, frames, [*keep], keep, None, axis.dim)
+    if axis.dim not in p.dimensions or not p.dimensions[axis.dim].ordered:
+        raise LanguageError(f"{axis.dim} isn't an ordered dimension")
+    if not axis.carry and not axis.lookahead and (seams := _coupled(p, axis.dim)):
+        raise LanguageError(f"{', '.join(seams)} walk along {axis.dim}; windows need lookahead or carry")
+    index = door._index(spark, p, axis.dim, sources[axis.dim])[0]
+    owned = windows(index, axis.dim, axis.steps, axis.lookahead).persist()
+    keep = {r[0]: owned.filter(F.col("window") == r[0]) for r in owned.select("window").distinct().orderBy("window").collect()}
+    return Slices(spark, spec, sources, axis, frames, [*keep], keep, owned, "window")
+
+
+def build_slice(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachWindow, key, *, sweep: Sweep | None = None) -> Model:
+    """The model of one slice, as `solve_over` builds it; with `sweep`, carried parameters are what the slice before left."""
+    cut = slices(spark, spec, sources, axis)
+    if key not in cut.keep:
+        raise DataError(f"no slice {key}")
+    at = cut.keys.index(key)
+    carried = cut.carried(cut.keys[at - 1], sweep.results[cut.keys[at - 1]]) if sweep is not None and axis.carry and at else {}
+    return Model(spark, cut.spec, cut.of(key) | carried)
+
+
+def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachWindow, *, workers: int = 1, spill_to: str | None = None, outputs: tuple[str, ...] = (), start: str | None = "previous") -> Sweep:
+    """Solve the model for every slice; a carried value goes from each slice into the next.
+
+    Without a carry, `workers` slices are built and solved at a time. With
+    `spill_to`, every slice's answer is written there as it comes and read back
+    from there, its model is let go, and a slice that is there already isn't
+    solved again, so an interrupted sweep goes on where it was. `start` hands
+    each slice the answer of the one before to begin with, where slices follow
+    one another; None doesn't.
+    """
+    cut = slices(spark, spec, sources, axis)
+    if workers > 1 and axis.carry:
+        raise LanguageError("a carry chains the slices; they can't be solved at a time")
+
+    def solved(k, carried: dict, before: Result | None):
+        place = f"{spill_to}/slice={k}"
+        if spill_to is not None and not axis.carry:
+            try:
+                return load_result(spark, place)
+            except LayoutError:
+                pass
+        model = Model(spark, cut.spec, cut.of(k) | carried)
+        result = model.solve(start=before)
+        if spill_to is not None:
+            result.save(place, outputs)
+            if not axis.carry:
+                model.close()
+                return load_result(spark, place)
+        return result
+
+    results: dict = {}
+    if workers > 1:
+        with ThreadPoolExecutor(workers) as pool:
+            results = dict(zip(cut.keys, pool.map(inheritable_thread_target(spark)(lambda k: solved(k, {}, None)), cut.keys), strict=True))
+        return Sweep(cut.key, results, axis, cut.owned)
+    carried, before = {}, None
+    for k in cut.keys:
+        results[k] = solved(k, carried, before if isinstance(before, Result) else None)
+        before = results[k] if start == "previous" else None
+        if axis.carry:
+            carried = cut.carried(k, results[k])
+    return Sweep(cut.key, results, axis, cut.owned)
+
+
+def load_sweep(spark: SparkSession, path: str, key: str = "slice") -> Sweep:
+    """A saved or spilled sweep: whole slices only, in the order of their names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder))
+    results = {}
+    for n in names:
+        if n.startswith("slice="):
+            try:
+                results[n.removeprefix("slice=")] = load_result(spark, f"{path}/{n}")
+            except LayoutError:
+                continue
+    return Sweep(key, results, None)
