@@ -17,10 +17,12 @@ from rowloom.llm.queries import ORACLE_SQL, op8_secret_scan, op9_media_columns
 TEXTS = ["the cat sat on the mat", "The  dog\nate é cat", "", None, "the the cat", "zebra the", "x " * 40 + "\n" + "x " * 40]
 
 
-def test_context_trees(spark):
+@pytest.mark.parametrize("limits", [ctw.Limits(), ctw.Limits(chunk=40, part=20, words=3, grams=25, buckets=8, share=1 / 30, sample=1 << 20, merged=2), ctw.Limits(chunk=3, part=9, words=2, grams=9, buckets=2, share=1 / 200, merged=2)])
+def test_context_trees(spark, limits):
+    """Against the recursion itself; with small limits there are many chunks, ranges, hand-overs and split contexts."""
     train = {0, 1, 2, 4}
     docs = spark.createDataFrame([(i, t, i in train, "c") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, tr boolean, chunk string").repartition(3)
-    found = {r["doc_id"]: r for r in ctw.score(docs, "tr").collect()}
+    found = {r["doc_id"]: r for r in ctw.score(docs, "tr", limits=limits).collect()}
     d_max, count, children = ctw.DEPTH, defaultdict(lambda: [0, 0]), defaultdict(set)
 
     def steps(text):
