@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from rowloom.llm.common import bounded_batches, text_of
+from rowloom.llm.common import Memo, bounded_batches, text_of
 
 #: Latin letters and number signs, as the library's pattern classes them.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
@@ -38,7 +38,7 @@ SETTLED = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ſ–—‘’“”…€]")
 #: public_tokenizers.PATTERN over those characters.
 MATCHES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 #: Matches that a worker remembers, about 200 bytes each; the memo starts anew beyond that.
-MEMO_ENTRIES = 600_000
+MEMO_BYTES = 96 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -132,7 +132,7 @@ class Encoder:
         self.model, self.alphabet = self.library.model, byte_alphabet()
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.remembers = splits_as_public(spec)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_BYTES)
 
     def whole(self, text: str) -> bytes:
         return little_endian(self.library.encode(text, add_special_tokens=False).ids)
@@ -143,16 +143,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.remembers or SETTLED.search(text) or any(a in text for a in self.added):
             return self.whole(text)
-        matches = MATCHES.findall(text)
-        found = [*map(self.memo.get, matches)]
-        if None in found:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            for m in matches:
-                if m not in self.memo:
-                    self.memo[m] = self._match(m)
-            found = [*map(self.memo.__getitem__, matches)]
-        return b"".join(found)
+        return b"".join(self.memo.answers(MATCHES.findall(text), self._match))
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -167,6 +158,16 @@ def encoder(tokenizer_json: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def spans_of(text: str, ids: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First code point of every token and the one after its last; a token that holds part of a character covers it. sizes: bytes of every id."""
+    size = sizes[np.frombuffer(ids, "<u4")]
+    if not len(size):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1  # the character of every byte
+    last = np.cumsum(size)
+    return char[last - size], char[last - 1] + 1
+
+
 def decode_bytes(ids: bytes, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -197,15 +198,12 @@ def encode(docs: DataFrame, tokenizer_json: str, *, keep: tuple[str, ...] = ("do
         e = encoder(tokenizer_json)
         if not offsets:
             return {"ids": pa.array([e.encode(t) for t in texts.to_pylist()], pa.binary())}
-        table, ids, starts, ends = byte_table(tokenizer_json), [], [], []
+        sizes, ids, starts, ends = np.array([*map(len, byte_table(tokenizer_json))], np.int64), [], [], []
         for t in texts.to_pylist():
             ids.append(e.encode(t))
-            sizes = np.array([len(table[i]) for i in np.frombuffer(ids[-1], "<u4").tolist()], dtype=np.int64)
-            raw = np.frombuffer(t.encode(), dtype=np.uint8)
-            char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character of every byte
-            last = np.cumsum(sizes)
-            starts.append(char[last - sizes].astype(np.int32) if len(sizes) else np.zeros(0, np.int32))
-            ends.append((char[last - 1] + 1).astype(np.int32) if len(sizes) else np.zeros(0, np.int32))
+            start, end = spans_of(t, ids[-1], sizes)
+            starts.append(start)
+            ends.append(end)
         return {"ids": pa.array(ids, pa.binary()), "char_start": pa.array(starts, pa.list_(pa.int32())), "char_end": pa.array(ends, pa.list_(pa.int32()))}
 
     fields = "ids binary" + ", char_start array<int>, char_end array<int>" * offsets
@@ -227,20 +225,23 @@ def decode(encoded: DataFrame, tokenizer_json: str, *, keep: tuple[str, ...] = (
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode every text and decode its ids in the same pass: per row the key, `ids`' and `decoded`'s digests and the token count.
+    """Encode every text and decode its ids in the same pass: per row the key, the token count, and digests of the ids, the decoded bytes and the tokens' offsets.
 
-    One Python pass, so neither ids nor bytes travel between operators.
+    offsets_sha256 is of all starts, then all ends, in code points as
+    little-endian signed 32-bit integers. One Python pass, so neither ids nor bytes travel between operators.
     """
     tokenizer_json = tokenizer_from_ranks(read_ranks(ranks_path), pattern)
 
     def make(texts: pa.Array) -> dict:
         e, table = encoder(tokenizer_json), byte_table(tokenizer_json)
-        n, digests, decoded = [], [], []
+        sizes = np.array([*map(len, table)], np.int64)
+        n, digests, decoded, offsets = [], [], [], []
         for t in texts.to_pylist():
             ids = e.encode(t)
             n.append(len(ids) // 4)
             digests.append(hashlib.sha256(ids).hexdigest())
             decoded.append(hashlib.sha256(decode_bytes(ids, table)).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded}
+            offsets.append(hashlib.sha256(b"".join(x.astype("<i4").tobytes() for x in spans_of(t, ids, sizes))).hexdigest())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded, "offsets_sha256": offsets}
 
-    return _with_arrow(docs, [key], text, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _with_arrow(docs, [key], text, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")

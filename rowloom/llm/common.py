@@ -62,6 +62,36 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+class Memo(dict):
+    """Answers by key, of at most so many bytes (keys, answers and about 100 for each entry); long keys are not kept."""
+
+    LONG, OVERHEAD = 256, 100
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def answers(self, keys: list, make) -> list:
+        """The answer of every key; `make` gives those that aren't known."""
+        found = [*map(self.get, keys)]
+        if None in found:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            own: dict = {}
+            for i, v in enumerate(found):
+                if v is None:
+                    key = keys[i]
+                    v = own.get(key)
+                    if v is None:
+                        v = own[key] = make(key)
+                        if len(key) <= self.LONG:
+                            self[key] = v
+                            self.held += self.OVERHEAD + 2 * len(key) + (len(v) if isinstance(v, bytes) else 8)
+                    found[i] = v
+        return found
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

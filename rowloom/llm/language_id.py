@@ -35,7 +35,8 @@ ALPHABET = 1024  # size of the uniform distribution below the unigrams
 SAMPLE_ROWS, KEPT_TENTHS = 1000, 2
 #: A prediction is rejected beyond so many standard deviations above the calibration mean, from so many symbols on.
 DEVIATIONS, LEAST_SYMBOLS = 8.0, 20
-MEMO_ENTRIES = 500_000
+#: Of the totals of tokens, and of the tokens themselves.
+MEMO_BYTES = 64 << 20
 UNDETERMINED = "und"
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -185,9 +186,11 @@ class Scorer:
     def __init__(self, models: Models):
         self.models, self.place = models, {}
         self.rows = np.zeros((1024, len(models.languages) + 1))
+        self.held = 0
+        self.most = max(1000, MEMO_BYTES // (8 * self.rows.shape[1] + 200))
 
     def _learn(self, tokens: list[str]) -> None:
-        if len(self.place) + len(tokens) > MEMO_ENTRIES:
+        if len(self.place) + len(tokens) > self.most:
             self.place.clear()
         words, owner = [], []
         for i, t in enumerate(tokens):
@@ -205,6 +208,7 @@ class Scorer:
             own[:, -1] = np.bincount(owner, weights=symbols, minlength=len(tokens))
         self.rows[start:end] = own
         self.place.update(zip(tokens, range(start, end), strict=True))
+        self.held += sum(map(len, tokens))
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """Per text the log2-probabilities and, last, the symbols."""
@@ -212,8 +216,9 @@ class Scorer:
         for low in range(0, len(texts), 128):
             split = [t.split() for t in texts[low : low + 128]]
             if new := {t for tokens in split for t in tokens}.difference(self.place):
-                if len(self.place) + len(new) > MEMO_ENTRIES:
+                if len(self.place) + len(new) > self.most or self.held > MEMO_BYTES:
                     self.place.clear()
+                    self.held = 0
                     new = {t for tokens in split for t in tokens}
                 self._learn([*new])
             for i, tokens in enumerate(split):

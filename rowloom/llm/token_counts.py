@@ -22,10 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from rowloom.llm.common import bounded_batches, text_of
+from rowloom.llm.common import Memo, bounded_batches, text_of
 
 MARK = "▁"  # stands for a space in pieces
-MEMO_ENTRIES = 600_000
+#: Of the counts of chunks; and of pairs of pieces, which are short.
+MEMO_BYTES, MEMO_PAIRS = 64 << 20, 300_000
 
 
 class PrefixCounter:
@@ -56,7 +57,7 @@ class PrefixCounter:
                 self.longest[piece[-3:]] = max(self.longest.get(piece[-3:], 0), len(piece))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.starts: dict[str, bool] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = Memo(MEMO_BYTES)
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short string: the best-scoring adjacent pair merges first, the leftmost of equals."""
@@ -75,7 +76,7 @@ class PrefixCounter:
     def _fits(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > MEMO_ENTRIES:
+            if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._merged(left + right) == [left, right]
         return known
@@ -130,17 +131,11 @@ class PrefixCounter:
         """Tokens of the whole text."""
         if not text:
             return 0
-        keys = [*self.chunks(text)]
-        found = [*map(self.totals.get, keys)]
-        if None in found:
-            if len(self.totals) > MEMO_ENTRIES:
-                self.totals.clear()
-            for key in keys:
-                if key not in self.totals:
-                    before, chunk = self._chunk(key)
-                    self.totals[key] = before + self.table(chunk)[-1]
-            found = [*map(self.totals.__getitem__, keys)]
-        return sum(found)
+        return sum(self.totals.answers([*self.chunks(text)], self._counted))
+
+    def _counted(self, key: str) -> int:
+        before, chunk = self._chunk(key)
+        return before + self.table(chunk)[-1]
 
     def prefixes(self, text: str) -> list[int]:
         """counts[k]: tokens of the first k code points."""
@@ -186,14 +181,14 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             out = {key: batch.column(key), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64())}
-            if budgets or prefixes:
-                tables = [c.prefixes(t) for t in texts]
-                out["n_tokens"] = pa.array([t[-1] for t in tables], pa.int64())
-                out |= {f"fits_{b}": pa.array([fits(t, b) for t in tables], pa.int64()) for b in budgets}
-                if prefixes:
-                    out["prefix_tokens"] = pa.array(tables, pa.list_(pa.int32()))
-            else:
-                out["n_tokens"] = pa.array([c.total(t) for t in texts], pa.int64())
+            totals = [c.total(t) for t in texts]
+            out["n_tokens"] = pa.array(totals, pa.int64())
+            least = -1 if prefixes else min(budgets, default=None)  # a text within all budgets fits whole
+            tables = [c.prefixes(t) if least is not None and n > least else None for t, n in zip(texts, totals, strict=True)]
+            for b in budgets:
+                out[f"fits_{b}"] = pa.array([len(t) if n <= b else fits(table, b) for t, n, table in zip(texts, totals, tables, strict=True)], pa.int64())
+            if prefixes:
+                out["prefix_tokens"] = pa.array(tables, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
     return narrow.mapInArrow(run, fields)

@@ -1,5 +1,6 @@
 """Tokenisers, token counts and packing against the libraries themselves."""
 
+import hashlib
 import random
 from collections import Counter
 import zlib
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rowloom.llm import bpe, packing, token_counts
+from rowloom.llm import bpe, common, packing, token_counts
 from rowloom.llm.queries import tokenizer_json
 
 ODD = ["", " ", "  \n ", "a\n \nb", "it's we'll 'tis", "<|endoftext|>x", "naïve café ñ ß", "日本語 テキスト", "x y z", "𝒳😀é", "\x1c\x1d a", "a" * 2000, "- " * 300, "\r\n\r\n\t", "½²³ 12ab"]
@@ -51,6 +52,13 @@ def test_round_trip(spark, theirs):
         assert list(r["char_start"]) == at[:-1]
         assert all(e >= s + 1 for s, e in zip(r["char_start"], r["char_end"], strict=True)) and (not ids or r["char_end"][-1] == len(text))
     digests = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in digests.collect():
+        text = rows[r["doc_id"]][1] or ""
+        ids = theirs.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        own = next(e for e in encoded.filter(f"doc_id = {r['doc_id']}").collect())
+        assert r["offsets_sha256"] == hashlib.sha256(np.asarray([*own["char_start"], *own["char_end"]], "<i4").tobytes()).hexdigest()
     assert digests.count() == len(rows) and digests.filter("n_tokens = 0").count() == 2
     assert bpe.round_trip(docs.filter("false"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
@@ -75,6 +83,14 @@ def test_count_tokens(spark):
             assert list(r["prefix_tokens"]) == counts and r["fits_3"] == max(k for k, n in enumerate(counts) if n <= 3)
 
 
+def test_memo_is_bounded():
+    memo = common.Memo(2000)
+    for k in range(100):
+        keys = [f"{k}-{i}" for i in range(5)] + ["long" * 100]
+        assert memo.answers(keys, len) == [*map(len, keys)]
+        assert len(memo) <= 20 + 5 and "long" * 100 not in memo
+
+
 def check_packing(rows, pieces, capacity, library):
     """Pieces cover every text in order, and every sequence is gapless."""
     ids = {k: [*library.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
