@@ -9,20 +9,22 @@ from rowloom.llm.common import materialise
 
 
 def _ranked(node: str, round_: int) -> Column:
-    """A node behind its rank of a round; ranks of different rounds have nothing to do with each other."""
-    return F.struct(F.xxhash64(F.lit(round_), F.col(node)).alias("rank"), F.col(node).alias("to"))
+    """A node behind its rank of a round: its own number in even rounds, a hash of its own for each odd one."""
+    rank = F.col(node) if round_ % 2 == 0 else F.xxhash64(F.lit(round_), F.col(node))
+    return F.struct(rank.alias("rank"), F.col(node).alias("to"))
 
 
 def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: bigint); root is the smallest node it reaches.
 
     Each round, every node steps to whichever of itself and its neighbours has
-    the least rank, a hash of the node that changes with the round; edges are
-    drawn between where their ends went, loops and repeated edges go. On a path
-    half of the nodes are left on average, in denser graphs fewer, so a chain of
-    n nodes takes about log2(n) rounds in whatever order its nodes are numbered.
-    Every round's tables are written to the shared folder; only whether any edge
-    is left reaches the driver. Joins read written tables on both sides, so
+    the least rank; edges are drawn between where their ends went, loops and
+    repeated edges go. Ranks are the nodes' numbers in every other round, which
+    makes a star around its smallest node one node at once, and hashes in the
+    others, which leave half of a path's nodes on average in whatever order they
+    are numbered. So a chain of n nodes takes about 2 log2(n) rounds. Every
+    round's tables are written to the shared folder; only whether any edge is
+    left reaches the driver. Joins read written tables on both sides, so
     adaptive execution can split a node that many edges share. `rounds`, if
     given, gets one number per round.
     """

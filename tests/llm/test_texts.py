@@ -190,14 +190,16 @@ def test_thresholds_are_allocated_to_the_budget():
 
 @pytest.mark.parametrize("order", ["ascending", "shuffled"])
 def test_components_of_a_long_path(spark, order):
-    """A chain of n nodes takes about log2(n) rounds, however its nodes are numbered."""
+    """A chain of n nodes takes about 2 log2(n) rounds, however its nodes are numbered; a star one or two."""
     n, name = 400, list(range(400))
     if order == "shuffled":
         np.random.default_rng(1).shuffle(name)
     edges = spark.createDataFrame([(int(name[i]), int(name[i + 1])) for i in range(n - 1)] + [(900, 901), (901, 902), (902, 900), (950, 950)], "a bigint, b bigint")
     rounds = []
     got = {r["node"]: r["root"] for r in components.components(edges, rounds).collect()}
-    assert got == {**dict.fromkeys(range(n), 0), **dict.fromkeys((900, 901, 902), 900)} and len(rounds) <= 14
+    assert got == {**dict.fromkeys(range(n), 0), **dict.fromkeys((900, 901, 902), 900)} and len(rounds) <= 24
+    star, short = spark.range(1, 500).selectExpr("id as a", "cast(0 as bigint) as b"), []
+    assert {r["root"] for r in components.components(star, short).collect()} == {0} and len(short) <= 2
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
