@@ -9,6 +9,7 @@ the order of addition differs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,45 +88,58 @@ d AS (SELECT month, v, n, CAST(row_number() OVER (ORDER BY month) - 1 AS BIGINT)
 SEGMENTS = "s AS (SELECT c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, SUM(c_acctbal) AS v FROM customer GROUP BY 1, 2 HAVING SUM(c_acctbal) > 0)"
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The model's tables from the sample tables; only months are numbered."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "region", "customer", "supplier", "part", "orders", "lineitem")}
+class Tables(dict):
+    """Sample tables, read when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
+
+
+def sources(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
+    """Those of the model's tables, made from the sample tables; only months are numbered."""
+    t = Tables(spark, sf_dir)
     label = lambda df, c, name: df.select(F.col(c).cast("bigint").alias(name), F.col(c).cast("bigint").alias("ord"))
-    monthly = t["orders"].groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("bigint").alias("month")).agg(F.sum("o_totalprice").alias("sales"), F.count("*").cast("double").alias("orders")).cache()
-    segments = t["customer"].groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.sum("c_acctbal").alias("value")).filter("value > 0").cache()
-    years = monthly.select("month", F.floor(F.col("month") / 12).cast("bigint").alias("year"))
-    return {
-        "nation": label(t["nation"], "n_nationkey", "nation"),
-        "region": label(t["region"], "r_regionkey", "region"),
-        "customer": label(t["customer"], "c_custkey", "customer"),
-        "supplier": label(t["supplier"], "s_suppkey", "supplier"),
-        "part": label(t["part"], "p_partkey", "part"),
-        "brand": t["part"].select(F.col("p_brand").alias("brand")).distinct(),
-        "segment": t["customer"].select(F.col("c_mktsegment").alias("segment")).distinct(),
-        "month": monthly.select("month"),
-        "year": years.select("year").distinct(),
-        "cust_nation": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")),
-        "nation_region": t["nation"].select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")),
-        "part_brand": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")),
-        "month_year": years,
-        "supplies": t["lineitem"].select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).distinct().persist(),
-        "cust_place": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")),
-        "cust_other": t["customer"].select(F.col("c_custkey").alias("customer"), F.pmod("c_custkey", F.lit(25)).alias("other")),
-        "month_first": years.join(years.groupBy("year").agg(F.min("month").alias("first")), "year").select("month", "first"),
-        "acctbal": t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("value")),
-        "supbal": t["supplier"].select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("value")),
-        "price": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("value")),
-        "size": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_size").alias("value")),
-        "kind": t["part"].select(F.col("p_partkey").alias("part"), F.col("p_type").alias("value")),
-        "sales": monthly.select("month", F.col("sales").alias("value")),
-        "orders": monthly.select("month", F.col("orders").alias("value")),
-        "lag": years.select("year", F.pmod(F.col("year"), F.lit(3)).cast("int").alias("value")).distinct(),
+    monthly = cache(lambda: t["orders"].groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("bigint").alias("month")).agg(F.sum("o_totalprice").alias("sales"), F.count("*").cast("double").alias("orders")).persist())
+    segments = cache(lambda: t["customer"].groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("bigint").alias("nation")).agg(F.sum("c_acctbal").alias("value")).filter("value > 0").persist())
+    years = lambda: monthly().select("month", F.floor(F.col("month") / 12).cast("bigint").alias("year"))
+    made = {
+        "nation": lambda: label(t["nation"], "n_nationkey", "nation"),
+        "region": lambda: label(t["region"], "r_regionkey", "region"),
+        "customer": lambda: label(t["customer"], "c_custkey", "customer"),
+        "supplier": lambda: label(t["supplier"], "s_suppkey", "supplier"),
+        "part": lambda: label(t["part"], "p_partkey", "part"),
+        "brand": lambda: t["part"].select(F.col("p_brand").alias("brand")).distinct(),
+        "segment": lambda: t["customer"].select(F.col("c_mktsegment").alias("segment")).distinct(),
+        "month": lambda: monthly().select("month"),
+        "year": lambda: years().select("year").distinct(),
+        "cust_nation": lambda: t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")),
+        "nation_region": lambda: t["nation"].select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")),
+        "part_brand": lambda: t["part"].select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand")),
+        "month_year": lambda: years(),
+        "supplies": lambda: t["lineitem"].select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).distinct().persist(),
+        "cust_place": lambda: t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")),
+        "cust_other": lambda: t["customer"].select(F.col("c_custkey").alias("customer"), F.pmod("c_custkey", F.lit(25)).alias("other")),
+        "month_first": lambda: years().join(years().groupBy("year").agg(F.min("month").alias("first")), "year").select("month", "first"),
+        "acctbal": lambda: t["customer"].select(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("value")),
+        "supbal": lambda: t["supplier"].select(F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("value")),
+        "price": lambda: t["part"].select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("value")),
+        "size": lambda: t["part"].select(F.col("p_partkey").alias("part"), F.col("p_size").alias("value")),
+        "kind": lambda: t["part"].select(F.col("p_partkey").alias("part"), F.col("p_type").alias("value")),
+        "sales": lambda: monthly().select("month", F.col("sales").alias("value")),
+        "orders": lambda: monthly().select("month", F.col("orders").alias("value")),
+        "lag": lambda: years().select("year", F.pmod(F.col("year"), F.lit(3)).cast("int").alias("value")).distinct(),
         "seg_bal": segments,
         "seg_abs": segments,
         "seg_zero": segments,
-        "rich": t["supplier"].select(F.col("s_suppkey").alias("supplier"), (F.col("s_acctbal") > 0).alias("value")),
-        "region_rate": t["region"].select(F.col("r_regionkey").alias("region"), (F.col("r_regionkey") + 1).cast("double").alias("value")),
+        "rich": lambda: t["supplier"].select(F.col("s_suppkey").alias("supplier"), (F.col("s_acctbal") > 0).alias("value")),
+        "region_rate": lambda: t["region"].select(F.col("r_regionkey").alias("region"), (F.col("r_regionkey") + 1).cast("double").alias("value")),
     }
+    return {n: made[n]() for n in names}
 
 
 def _part(names: set[str]) -> dict:
@@ -145,8 +159,7 @@ def _model(spark: SparkSession, sf_dir: str, names: str, constraints: tuple[str,
         spec["objective"] = SPEC["objective"]
     if sos:
         spec["sos"] = SPEC["sos"]
-    given = sources(spark, sf_dir)
-    return spec, {k: given[k] for s in ("dimensions", "relations", "parameters") for k in spec[s]}
+    return spec, sources(spark, sf_dir, [k for s in ("dimensions", "relations", "parameters") for k in spec[s]])
 
 
 def _expression(name: str, uses: str, formula: str, sql: str, digits: int = 4) -> None:

@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.errors import DataError
 from rowloom.functions.formula import Num, Unary
-from rowloom.plans.compiler import Compiled, Compiler, Term, negated, ranked
+from rowloom.plans.compiler import Compiled, Compiler, Term, negated, range_counts, ranked
 from rowloom.sources.door import Attached
 
 SCHEMAS = {
@@ -67,6 +69,17 @@ def _constant(node) -> float | None:
     return None
 
 
+@dataclass
+class Placed:
+    """A compiled constraint; `whole` says that it has a row at every coordinate."""
+
+    constraint: object
+    frame: DataFrame
+    whole: bool
+    terms: list[Term] = field(default_factory=list)
+    constants: list[Term] = field(default_factory=list)
+
+
 class Assembly:
     def __init__(self, attached: Attached):
         self.a, self.p = attached, attached.program
@@ -75,13 +88,17 @@ class Assembly:
         self.asked: list[tuple[str, DataFrame]] = []  # what must have no row, and what is said if it has
 
     def run(self) -> Handoff:
-        cols = [self.variable(v) for v in self.p.variables.values()]
+        variables = [*self.p.variables.values()]
+        masked = [self.position(self.c.masked(v.dims, v.where, ords=True), v.dims) for v in variables]
+        counts = self.counted([(f, v.dims, v.where is None or not self.a.size(v.dims)) for f, v in zip(masked, variables, strict=True)])
+        cols = [self.variable(*x) for x in zip(variables, masked, counts, strict=True)]
         sos = [self.sos(i, s) for i, s in enumerate(self.p.sos.values())]
         self.h.kinds |= {"sos"} if self.p.sos else set()
         parts: dict[str, list[DataFrame]] = {"rows": [], "matrix": [], "qmatrix": []}
         linear = [c for c in self.p.constraints.values() if max(self.p.degree(c.left), self.p.degree(c.right)) < 2]
-        for c in [*linear, *(c for c in self.p.constraints.values() if c not in linear)]:  # quadratic rows come last
-            for name, table in self.constraint(c).items():
+        placed = [self.placed(c) for c in [*linear, *(c for c in self.p.constraints.values() if c not in linear)]]  # quadratic rows come last
+        for x, n in zip(placed, self.counted([(x.frame, x.constraint.dims, x.whole) for x in placed]), strict=True):
+            for name, table in self.constraint(x, n).items():
                 parts[name].append(table)
         self.objective()
         self.settle()
@@ -108,18 +125,23 @@ class Assembly:
             at = at * F.lit(self.a.sizes[d]) + F.col(f"ord_{d}")
         return frame.withColumn("__at", at)
 
-    def labelled(self, frame: DataFrame, dims: tuple[str, ...], label: str, start: int, whole: bool) -> tuple[DataFrame, int]:
-        placed = self.position(frame, dims)
-        if whole:  # nothing is masked: the position is the label
-            return placed.withColumn(label, F.col("__at") + F.lit(start)), self.a.size(dims)
-        return ranked(placed, "__at", label, self.a.size(dims), start)
+    def counted(self, frames: list[tuple[DataFrame, tuple[str, ...], bool]]) -> list[dict[int, int] | None]:
+        """Range counts of every frame that isn't whole, all at a time: what each waits for is a small job."""
+        look = inheritable_thread_target(self.a.spark)(lambda x: None if x[2] else range_counts(x[0], "__at", max(1, self.a.size(x[1]))))
+        with ThreadPoolExecutor(8) as pool:
+            return [*pool.map(look, frames)]
+
+    def labelled(self, frame: DataFrame, dims: tuple[str, ...], label: str, start: int, counts: dict[int, int] | None) -> tuple[DataFrame, int]:
+        if counts is None:  # nothing is masked: the position is the label
+            return frame.withColumn(label, F.col("__at") + F.lit(start)), self.a.size(dims)
+        return ranked(frame, "__at", label, max(1, self.a.size(dims)), counts, start), sum(counts.values())
 
-    def variable(self, v) -> DataFrame:
+    def variable(self, v, masked: DataFrame, counts: dict[int, int] | None) -> DataFrame:
         if not self.a.size(v.dims):  # over no label: nothing to compile
             frame = self.c.masked(v.dims, None, ords=True).withColumn("var", F.lit(0).cast("bigint")).filter(F.lit(False))
             self.h.variables[v.name], self.h.spans[v.name], self.h.omitted[v.name] = frame, (self.h.n_cols, 0), 0
             return self.union([], "cols")
-        frame, n = self.labelled(self.c.masked(v.dims, v.where, ords=True), v.dims, "var", self.h.n_cols, v.where is None)
+        frame, n = self.labelled(masked, v.dims, "var", self.h.n_cols, counts)
         frame = frame.drop("__at").persist()
         self.h.variables[v.name], self.h.spans[v.name] = frame, (self.h.n_cols, n)
         self.h.omitted[v.name] = self.a.size(v.dims) - n
@@ -152,11 +174,10 @@ class Assembly:
         first = sum(self.a.size([d for d in self.p.variables[x.variable].dims if d != x.along]) for x in list(self.p.sos.values())[:i])
         return self.h.variables[s.variable].select((at + F.lit(first)).alias("set"), F.lit(s.kind).alias("type"), F.col("var").alias("col"), (F.col(f"ord_{s.along}") + 1).alias("weight"))
 
-    def constraint(self, c) -> dict[str, DataFrame]:
+    def placed(self, c) -> Placed:
+        """A constraint's terms, and where it has rows."""
         if not self.a.size(c.dims):  # over no label: nothing to compile
-            self.h.constraints[c.name] = self.c.masked(c.dims, None, ords=True).withColumn("row", F.lit(0).cast("bigint")).filter(F.lit(False))
-            self.h.spans[f"constraint:{c.name}"], self.h.omitted[f"constraint:{c.name}"] = (self.h.n_rows, 0), 0
-            return {}
+            return Placed(c, self.position(self.c.masked(c.dims, None, ords=True), c.dims), True)
         left, right = self.c.expression(c.left), self.c.expression(c.right)
         terms = [t for t in left.terms if t.kind != "const"] + [negated(t) for t in right.terms if t.kind != "const"]
         constants = right.of("const") + [negated(t) for t in left.of("const")]
@@ -169,10 +190,16 @@ class Assembly:
         if not certain:
             there = [self.c.join(frame, t.frame.select(*t.dims).distinct(), t.dims, "left_semi") for t in terms]
             frame = reduce(DataFrame.unionByName, there).distinct() if len(there) > 1 else there[0]
-        if c.dims:
-            rows, n = self.labelled(frame, c.dims, "row", self.h.n_rows, certain and c.where is None and not presences)
-        else:
-            rows, n = frame.limit(1).withColumn("row", F.lit(self.h.n_rows).cast("bigint")), frame.limit(1).count()
+            frame = frame if c.dims else frame.limit(1)
+        return Placed(c, self.position(frame, c.dims), certain and c.where is None and not presences, terms, constants)
+
+    def constraint(self, x: Placed, counts: dict[int, int] | None) -> dict[str, DataFrame]:
+        c, terms, constants = x.constraint, x.terms, x.constants
+        if not self.a.size(c.dims):
+            self.h.constraints[c.name] = x.frame.drop("__at").withColumn("row", F.lit(0).cast("bigint"))
+            self.h.spans[f"constraint:{c.name}"], self.h.omitted[f"constraint:{c.name}"] = (self.h.n_rows, 0), 0
+            return {}
+        rows, n = self.labelled(x.frame, c.dims, "row", self.h.n_rows, counts)
         rows = rows.drop("__at").persist()
         self.h.constraints[c.name], self.h.spans[f"constraint:{c.name}"] = rows, (self.h.n_rows, n)
         self.h.omitted[f"constraint:{c.name}"] = self.a.size(c.dims) - n

@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -552,20 +553,29 @@ class Compiler:
         return orders.filter(compare(op, F.col("o"), F.lit(wanted) if wanted >= 0 else F.col("size") + wanted)).select(d)
 
 
-def ranked(frame: DataFrame, position: str, label: str, size: int, start: int = 0, buckets: int = 1024) -> tuple[DataFrame, int]:
-    """Rows numbered from `start` in the order of a distinct position in 0..size-1; and how many there are.
+RANGES = 1024
 
-    Positions are cut into equal ranges, whose counts (at most `buckets`) go to
-    the driver; a row's number is its range's offset and its rank in it. No
+
+def dealt(frame: DataFrame, position: str, size: int) -> DataFrame:
+    """Rows with the equal range of 0..size-1 that their position is in."""
+    return frame.withColumn("__range", F.floor(F.col(position) / max(1, -(-size // RANGES))).cast("bigint"))
+
+
+def range_counts(frame: DataFrame, position: str, size: int) -> dict[int, int]:
+    """Rows in each of at most RANGES equal ranges of a position; all that the driver sees of a labelling."""
+    return {r[0]: r[1] for r in dealt(frame, position, size).groupBy("__range").count().collect()}
+
+
+def ranked(frame: DataFrame, position: str, label: str, size: int, counts: dict[int, int], start: int = 0) -> DataFrame:
+    """Rows numbered from `start` in the order of a distinct position in 0..size-1.
+
+    A row's number is what lies before its range and its rank in it, so no
     window covers more than one range.
     """
-    width = max(1, -(-size // buckets))
-    dealt = frame.withColumn("__range", F.floor(F.col(position) / width).cast("bigint"))
-    counts = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}
-    offsets, total = [], start
+    before, total = [], start
     for k in sorted(counts):
-        offsets.append((k, total))
+        before.append((k, total))
         total += counts[k]
-    small = frame.sparkSession.createDataFrame(offsets, "__range bigint, __before bigint")
+    small = frame.sparkSession.createDataFrame(pa.table({"__range": pa.array([k for k, _ in before], pa.int64()), "__before": pa.array([n for _, n in before], pa.int64())}))
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(position)) - 1
-    return dealt.join(F.broadcast(small), "__range").withColumn(label, (F.col("__before") + rank).cast("bigint")).drop("__range", "__before"), total - start
+    return dealt(frame, position, size).join(F.broadcast(small), "__range").withColumn(label, (F.col("__before") + rank).cast("bigint")).drop("__range", "__before")

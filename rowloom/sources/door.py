@@ -11,6 +11,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +24,10 @@ from rowloom.plans.spec import Parameter, Program
 
 LABEL = {"int": "bigint", "float": "double", "str": "string", "datetime": "timestamp_ntz"}
 VALUE = {"float": "double", "int": "bigint", "bool": "boolean", "str": "string"}
-_KIND = {"int": T.LongType(), "float": T.DoubleType(), "str": T.StringType()}
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Dimension tables of at most so many bytes are broadcast; larger ones are left to the optimiser.
 BROADCAST_BYTES = 64 << 20
-#: Labels without positions are numbered on the driver up to so many, beyond that by ranges.
+#: Dimensions of at most so many labels are held on the driver; larger ones are checked, and numbered, where they are.
 DRIVER_LABELS = 100_000
 
 
@@ -84,8 +86,6 @@ def _frame(spark: SparkSession, source, columns: list[str]) -> DataFrame:
     if hasattr(source, "columns") and hasattr(source, "iloc"):
         return spark.createDataFrame(source)
     if hasattr(source, "__arrow_c_stream__") or hasattr(source, "to_arrow_table"):  # Arrow, polars and DuckDB tables, whatever made them
-        import pyarrow as pa
-
         return spark.createDataFrame(source if isinstance(source, pa.Table) else pa.table(source) if hasattr(source, "__arrow_c_stream__") else source.to_arrow_table())
     raise DataError(f"can't read a {type(source).__name__} as a table of {', '.join(columns)}")
 
@@ -108,12 +108,15 @@ def _numbered(labels: DataFrame, name: str) -> DataFrame:
     return dealt.join(F.broadcast(before), "__part").select(name, (F.col("__before") + rank).cast("bigint").alias("ord"))
 
 
-def _listed(spark: SparkSession, name: str, kind, labels: list) -> tuple[DataFrame, int, int]:
-    """A dimension from labels in order, with its size and bytes; checked without a job."""
-    if None in labels or len({*labels}) < len(labels):
+def _held(spark: SparkSession, name: str, table: pa.Table) -> tuple[DataFrame, int, int]:
+    """A dimension (label, ord) that the driver has seen whole: checked without a job, and a local relation from then on."""
+    labels, n = table.column(name), len(table)
+    if labels.null_count or len(pc.unique(labels)) < n:
         raise DataError(f"dimension {name}: a label is null or there twice")
-    size = sum(len(x.encode()) + 8 if isinstance(x, str) else 16 for x in labels)
-    return spark.createDataFrame([(x, i) for i, x in enumerate(labels)], T.StructType([T.StructField(name, kind), T.StructField("ord", T.LongType())])), len(labels), size
+    order = np.sort(table.column("ord").to_numpy())
+    if n and not np.array_equal(order, np.arange(n)):
+        raise DataError(f"dimension {name}: ord must count the labels from 0; it runs from {order[0]} to {order[-1]} over {n} labels")
+    return spark.createDataFrame(table), n, table.nbytes
 
 
 def _index(spark: SparkSession, program: Program, name: str, source) -> tuple[DataFrame, int, int]:
@@ -123,25 +126,31 @@ def _index(spark: SparkSession, program: Program, name: str, source) -> tuple[Da
         labels = list(source[name]) if name in source else list(source.iloc[:, 0] if source.ndim > 1 else source)
         source = [x.item() if hasattr(x, "item") else str(x) if d.dtype in ("str", "datetime") else x for x in labels]
     if isinstance(source, (list, tuple, range)):
-        made, n, size = _listed(spark, name, _KIND["str" if d.dtype == "datetime" else d.dtype], [float(x) if d.dtype == "float" and isinstance(x, int) else str(x) if d.dtype == "datetime" and x is not None else x for x in source])
-        return made.withColumn(name, F.col(name).cast(LABEL[d.dtype])), n, size
+        kind = {"int": pa.int64(), "float": pa.float64()}.get(d.dtype, pa.string())
+        labels = [str(x) if d.dtype == "datetime" and x is not None else x for x in source]
+        try:
+            column = pa.array(labels, kind)
+        except (pa.ArrowInvalid, pa.ArrowTypeError) as why:
+            raise DataError(f"dimension {name}: a label isn't of type {d.dtype}: {why}") from why
+        made, n, size = _held(spark, name, pa.table({name: column, "ord": pa.array(range(len(labels)), pa.int64())}))
+        return made.withColumn(name, F.col(name).cast(LABEL[d.dtype])) if d.dtype == "datetime" else made, n, size
     df = _frame(spark, source, [name])
     _missing(df, [name], f"dimension {name}")
     label = F.col(name).cast(LABEL[d.dtype])
-    width = F.octet_length(F.col(name)) + 8 if d.dtype == "str" else F.lit(16)
     # a DataFrame has no row order: a column ord gives it, else labels are in their own order
-    if "ord" in df.columns:
-        table = df.select(label, F.col("ord").cast("bigint"))
-    else:
-        labels = df.select(label)
-        few = [r[0] for r in labels.limit(DRIVER_LABELS + 1).collect()]
-        if len(few) <= DRIVER_LABELS:
-            return _listed(spark, name, labels.schema[name].dataType, few if None in few else sorted(few))
-        table = _numbered(labels, name)
+    table = df.select(label, F.col("ord").cast("bigint")) if "ord" in df.columns else df.select(label)
+    few = table.limit(DRIVER_LABELS + 1).toArrow()
+    if len(few) <= DRIVER_LABELS:
+        if "ord" not in df.columns:
+            few = few.sort_by(name).append_column("ord", pa.array(range(len(few)), pa.int64()))
+        return _held(spark, name, few)
+    if "ord" not in df.columns:
+        table = _numbered(table, name)
+    width = F.octet_length(F.col(name)) + 8 if d.dtype == "str" else F.lit(16)
     n, labels, orders, nulls, first, last, size = table.agg(F.count("*"), F.countDistinct(name), F.countDistinct("ord"), F.count(F.when(F.col(name).isNull(), 1)), F.min("ord"), F.max("ord"), F.coalesce(F.sum(width), F.lit(0))).first()
     if nulls or labels < n or orders < n:
         raise DataError(f"dimension {name}: a label is null or there twice")
-    if n and (first, last) != (0, n - 1):
+    if (first, last) != (0, n - 1):
         raise DataError(f"dimension {name}: ord must count the labels from 0; it runs from {first} to {last} over {n} labels")
     return table, n, size
 
