@@ -175,3 +175,20 @@ def test_quality_threshold_is_of_trusted_texts(spark, folder):
 
 def test_shared_folder(spark):
     assert common.shared_dir(spark).endswith(spark.sparkContext.applicationId)
+
+
+def test_shared_folder_is_refused_where_executors_would_not_share_it(spark, monkeypatch, tmp_path):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Elsewhere)
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert common.materialise(spark.range(3), "three").count() == 3 and (tmp_path / "shared").exists()
+    common.release(spark)
+    assert not (tmp_path / "shared").exists()
