@@ -244,10 +244,8 @@ def solve_over(spark: SparkSession, spec, sources: dict, axis: EachLabel | EachW
         result = model.solve(start=before)
         if spill_to is not None:
             result.save(place, outputs)
-            if not axis.carry:
-                model.close()
-                return load_result(spark, place)
-        return result
+        model.close()  # the answer's tables are still there, but not kept in memory for every slice
+        return load_result(spark, place) if spill_to is not None and not axis.carry else result
 
     results: dict = {}
     if workers > 1:
