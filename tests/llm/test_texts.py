@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rowloom.llm import components, ctw, language_id, media, minhash, quality, secrets, simhash
+from rowloom.llm import common, components, ctw, language_id, media, minhash, quality, secrets, simhash
 from rowloom.llm.queries import ORACLE_SQL, op8_secret_scan, op9_media_columns
 
 TEXTS = ["the cat sat on the mat", "The  dog\nate é cat", "", None, "the the cat", "zebra the", "x " * 40 + "\n" + "x " * 40]
@@ -375,3 +376,15 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
     none = language_id.fit(docs.filter("false"))
     assert language_id.identify(docs, none).filter("lang_pred = 'und'").count() == docs.count()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="the sample tables aren't here")
+def test_false_rejections_keep_to_their_rate(spark):
+    """Of held-out texts whose language is told right, no more than one in 65 is rejected; texts of no language that was learned are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", common.doc_crc() % 5 == 0)
+    fitted = language_id.fit(docs.filter("not held_out"))
+    told = language_id.identify(docs.filter("held_out"), fitted, keep=("lang",)).filter("lang = lang_pred")
+    all_, gone = told.count(), told.filter("rejected").count()
+    assert all_ > 100 and 65 * gone <= all_
+    noise = spark.createDataFrame([(i, "zqxj vkwq xxzj qqvw jzkx " * 20) for i in range(5)], "doc_id bigint, text string")
+    assert language_id.identify(noise, fitted).filter("not rejected").count() == 0
