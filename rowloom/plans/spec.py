@@ -323,10 +323,21 @@ def program(source) -> Program:
     tree = lambda f: None if f is None else _expand(parse(f), macros)
     seen: dict[str, str] = {}
 
-    def own(name: str, section: str) -> str:
-        if not isinstance(name, str) or not name.isidentifier() or name.startswith("rowloom_") or name in ("and", "or", "not", "true", "false"):
+    def fit(name: str) -> str:
+        if not isinstance(name, str) or not name.isidentifier() or name.lower().startswith("rowloom_") or name.lower() in ("and", "or", "not", "true", "false"):
             raise SchemaError(f"{name!r} can't be a name")
-        if section == "dimensions" and name in ("value", "ord"):
+        return name
+
+    def alone(names, what: str) -> None:
+        """Names of a space of their own: none twice, however it is written."""
+        lower: dict[str, str] = {}
+        for name in names:
+            if (other := lower.setdefault(fit(name).lower(), name)) != name:
+                raise SchemaError(f"{what}: {other} and {name} differ only in case")
+
+    def own(name: str, section: str) -> str:
+        fit(name)
+        if section == "dimensions" and name.lower() in ("value", "ord"):
             raise SchemaError(f"a dimension can't be called {name}")
         if name.lower() in seen:
             raise SchemaError(f"{name} is declared twice: in {seen[name.lower()]} and {section}")
@@ -343,6 +354,11 @@ def program(source) -> Program:
         of = lambda c: dict(c) if isinstance(c, dict) else {x: x for x in _listed(c)}
         key, values = of(r.get("key")), of(r.get("values"))
         columns = {**key, **values} or of(r.get("columns"))
+        if both := [c for c in key if c in values]:
+            raise SchemaError(f"relation {n}: column {both[0]} is both key and value")
+        alone(columns, f"relation {n}")
+        if "value" in columns or "ord" in columns:
+            raise SchemaError(f"relation {n}: a column can't be called value or ord")
         if stray := [d for d in columns.values() if d not in p.dimensions]:
             raise SchemaError(f"relation {n}: no dimension {stray[0]}")
         p.relations[own(n, "relations")] = Relation(n, columns, tuple(key) if key and values else (), r.get("missing", "neutral"))
@@ -370,6 +386,8 @@ def program(source) -> Program:
         for n, v in spec["variables"].items():
             if n not in p.variables:
                 _variable(p, own(n, "variables"), v, tree)
+    for section in ("constraints", "assumptions", "sos", "piecewise", "macros"):
+        alone(spec.get(section) or {}, section)
     for n, c in (spec.get("constraints") or {}).items():
         e = tree(c["expression"])
         if not isinstance(e, Binary) or e.op not in ("<=", ">=", "=="):

@@ -77,3 +77,19 @@ def test_macro_and_dimensions():
     assert p.dims(p.expressions["e"]) == ("t",) and p.degree(p.expressions["e"]) == 1
     with pytest.raises(LanguageError):
         program(spec(macros={"w": {"args": ["a"], "template": "w(a)"}}, expressions={"e": "w(p)"}))
+
+
+@pytest.mark.parametrize(
+    ("part", "said"),
+    [
+        ({"dimensions": {"Value": {}}}, "can't be called"),
+        ({"dimensions": {"d": {}}, "relations": {"r": {"key": "d", "values": {"D": "d"}}}}, "differ only in case"),
+        ({"dimensions": {"d": {}}, "relations": {"r": {"key": {"value": "d"}}}}, "value or ord"),
+        ({"dimensions": {"d": {}}, "relations": {"r": {"key": {"a b": "d"}}}}, "can't be a name"),
+        ({"variables": {"x": {}}, "constraints": {"c": {"expression": "x <= 1"}, "C": {"expression": "x >= 0"}}}, "differ only in case"),
+        ({"parameters": {"Rowloom_p": {}}}, "can't be a name"),
+    ],
+)
+def test_refused_names(part, said):
+    with pytest.raises(SchemaError, match=said):
+        program(part)
