@@ -15,7 +15,9 @@ distinct chunk; a text's counts are the running sum over its chunks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import sentencepiece
@@ -137,6 +139,23 @@ class PrefixCounter:
         before, chunk = self._chunk(key)
         return before + self.table(chunk)[-1]
 
+    def fitting(self, text: str, budget: int) -> int:
+        """The longest prefix, in code points, of at most `budget` tokens.
+
+        Chunks' totals, which are remembered, tell the last chunk that begins
+        within the budget; a prefix that ends in a later one has more tokens,
+        so the table of that chunk alone settles the rest.
+        """
+        keys = [*self.chunks(text)] if text else []
+        begins = [0, *accumulate(self.totals.answers(keys, self._counted))]
+        last = bisect_left(begins, budget, 0, len(keys)) - 1
+        if last < 0:
+            return 0
+        at = sum(len(k) + (k[:1] != "\n") for k in keys[:last]) - (last > 0)  # the first chunk's mark stands for nothing
+        before, chunk = self._chunk(keys[last])
+        counts = [1] * before + [before + c for c in self.table(chunk)[1 if last else 2 :]]
+        return at + next((k + 1 for k in range(len(counts) - 1, -1, -1) if begins[last] + counts[k] <= budget), 0)
+
     def prefixes(self, text: str) -> list[int]:
         """counts[k]: tokens of the first k code points."""
         counts, base, first = [0], 0, True
@@ -159,11 +178,6 @@ def counter(model_path: str) -> PrefixCounter:
     return _COUNTERS[model_path]
 
 
-def fits(counts: list[int], budget: int) -> int:
-    """The longest prefix, in code points, of at most `budget` tokens; counts are not monotone, so look from the end."""
-    return next(k for k in range(len(counts) - 1, -1, -1) if counts[k] <= budget)
-
-
 def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", budgets: tuple[int, ...] = (), prefixes: bool = False) -> DataFrame:
     """`key`, `n_bytes`, `n_tokens` of every text.
 
@@ -183,12 +197,10 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
             out = {key: batch.column(key), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64())}
             totals = [c.total(t) for t in texts]
             out["n_tokens"] = pa.array(totals, pa.int64())
-            least = -1 if prefixes else min(budgets, default=None)  # a text within all budgets fits whole
-            tables = [c.prefixes(t) if least is not None and n > least else None for t, n in zip(texts, totals, strict=True)]
-            for b in budgets:
-                out[f"fits_{b}"] = pa.array([len(t) if n <= b else fits(table, b) for t, n, table in zip(texts, totals, tables, strict=True)], pa.int64())
+            for b in budgets:  # a text within the budget fits whole
+                out[f"fits_{b}"] = pa.array([len(t) if n <= b else c.fitting(t, b) for t, n in zip(texts, totals, strict=True)], pa.int64())
             if prefixes:
-                out["prefix_tokens"] = pa.array(tables, pa.list_(pa.int32()))
+                out["prefix_tokens"] = pa.array([c.prefixes(t) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
     return narrow.mapInArrow(run, fields)

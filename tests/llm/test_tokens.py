@@ -69,6 +69,8 @@ def test_prefix_counts_are_sentencepieces(text):
     c, library = token_counts.counter(MODEL), token_counts.library(MODEL)
     want = [len(library.encode(text[:k])) for k in range(len(text) + 1)]
     assert c.prefixes(text) == want and c.total(text) == want[-1]
+    for budget in (0, 1, 2, 3, 5, 9, 40):
+        assert c.fitting(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
 def test_count_tokens(spark):
