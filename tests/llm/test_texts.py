@@ -108,6 +108,33 @@ def test_quality(spark):
     assert quality.judge(docs.filter("false"), fitted).count() == 0
 
 
+def test_quality_learns_from_every_trusted_text(spark):
+    """Ratios and threshold of 6,000 trusted texts against brute force; labels without a text, and rows that repeat a key."""
+    n = 6000
+    text = lambda i: " ".join(f"w{(i * i + k * 31) % 997}" for k in range(15 + i % 17))
+    rows = [(i, text(i)) for i in range(n + 500)] + [(3, text(3)), (None, text(5)), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1, None if i % 2 else 0) for i in range(n)] + [(n + 1, 1, 1), (n + 2, 0, 0), (10**12, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    ratios, low = quality.fit(docs, labels)
+    words = docs.withColumn("__words", quality.F.transform(quality.words_of(common.text_of()), lambda w: quality.F.xxhash64(w)))
+    made = [(r["doc_id"], r["f"]) for r in words.select("doc_id", quality.features().alias("f")).collect()]
+    raw, target = Counter(b for _, f in made for b in f), Counter(b for i, f in made if i is not None and i < n for b in f)
+    share = lambda c, b: math.log((c[b] + 1) / (c.total() + quality.BUCKETS))
+    assert ratios == pytest.approx([share(target, b) - share(raw, b) for b in range(quality.BUCKETS)], abs=1e-6)
+    scores = [sum(ratios[b] for b in f) / len(f) for i, f in made if i is not None and i < n and len(f) >= 2 * quality.LEAST_WORDS]
+    assert low == pytest.approx(np.mean(scores) - quality.DEVIATIONS * np.std(scores, ddof=1), rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_quality_look_up_of_keys(spark, kind, monkeypatch):
+    """Rows of a key are found whatever the table of bits lets through; null is no key."""
+    keys = spark.range(0, 3000, 3).selectExpr(f"cast(id as {kind}) as __key")
+    rows = spark.range(3000).selectExpr("cast(id % 1500 as int) as __doc", "id").unionByName(spark.sql("select cast(null as int) as __doc, -1L as id"))
+    for bits in (64, 1 << 10, 1 << 23):
+        monkeypatch.setattr(quality, "BITS", bits)
+        assert sorted(r["id"] for r in quality.among(rows, keys).collect()) == [i for i in range(3000) if i % 1500 % 3 == 0]
+
+
 def slow_fingerprint(text):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
