@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word similarity 0.8: that of the smallest doc_id. Rows without a doc_id stay; rows that repeat a doc_id stay together."""
+    """One document of each component of SimHash links and of five-word similarity 0.8: that of the smallest doc_id. Rows without a doc_id stay; rows that repeat a doc_id stay together."""
     found = minhash.near_copies(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 

@@ -1,6 +1,12 @@
-"""Near-copies by exact similarity of word shingles: links at a Jaccard of 4/5 or more over five-word shingles.
+"""Near-copies: what SimHash links, and what an exact similarity of word shingles links, a Jaccard of 4/5 or more over five words.
 
-Candidates come from MinHash: `BANDS` bands of `ROWS` minima each. Two sets of
+SimHash (`simhash.py`) runs whole: fingerprints of every text, partitions of
+their bits with a threshold each, verified links of 3 differing bits or fewer.
+These weigh repeated shingles, so they reach copies that share few distinct
+ones; a few edits already move more than 3 bits, so the second kind of link
+is found beside them, and the components are those of all links together.
+
+Candidates of the second kind come from MinHash: `BANDS` bands of `ROWS` minima each. Two sets of
 similarity 0.8 share no band with a probability of (1 - 0.8^6)^40 = 5e-6, and
 less above; at 0.3 one pair in 35 shares a band. Texts that share a band are one
 cluster (linked to the band's smallest node, so a band of any size gives as many
@@ -14,7 +20,7 @@ A node is the 64-bit hash of a text, so equal texts are compared once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm import simhash
 from rowloom.llm.common import bounded_batches, materialise, text_of
 from rowloom.llm.components import components
 from rowloom.llm.simhash import SEED, stars
@@ -118,33 +125,50 @@ def links(near: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _per_text(docs: DataFrame, column: str, kind: str, make, keep: tuple[str, ...]) -> DataFrame:
-    """`keep` and one column made from the shingles of each row's __text."""
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): edges that connect just the nodes (node, fp) whose fingerprints are equal or linked by SimHash."""
+    prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("last")), "prints")
+    shared = prints.filter("least < last").select("fp", "least")
+    same = nodes.select("fp", "node").join(shared, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = materialise(simhash.links(prints.select("fp")), "fingerprint-links")
+    ends = found.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("node_a")), "a")
+    ends = ends.join(prints.select(F.col("fp").alias("b"), F.col("least").alias("node_b")), "b")
+    return same.unionByName(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def _per_text(docs: DataFrame, columns: dict[str, tuple[str, Callable]], keep: tuple[str, ...]) -> DataFrame:
+    """`keep` and columns (name: type, function of the text) made from each row's __text."""
     narrow = bounded_batches(docs).select(*keep, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [make(shingles(t)) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {column: made})
+            texts = batch.column("__text").to_pylist()
+            made = {c: [make(t) for t in texts] for c, (_, make) in columns.items()}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | made)
 
     fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
-    return narrow.mapInArrow(run, ", ".join([*fields, f"{column} {kind}"]))
+    return narrow.mapInArrow(run, ", ".join([*fields, *(f"{c} {kind}" for c, (kind, _) in columns.items())]))
+
+
+#: What every text gets: its bands, and its fingerprint as a signed number.
+SIGNATURES = {"bands": ("array<bigint>", lambda t: bands(shingles(t)).view(np.int64).tolist()), "fp": ("bigint", lambda t: int(np.uint64(simhash.fingerprint(t)).view(np.int64)))}
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and component_id for every row: the smallest key that links of similar texts reach.
+    """`key` and component_id for every row: the smallest key that links of either kind reach.
 
     Texts without words, and null, are alike. A null key never names a
     component: if a component has no other key, its component_id is null. An
     empty table gives an empty result; other columns are not read.
     """
     given = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).withColumn("node", F.xxhash64("__text"))
-    made = materialise(_per_text(given, "bands", "array<bigint>", lambda h: bands(h).view(np.int64).tolist(), ("__key", "node")), "signatures")
-    nodes = materialise(made.groupBy("node").agg(F.min("__key").alias("first"), F.first("bands").alias("bands")), "nodes")
+    made = materialise(_per_text(given, SIGNATURES, ("__key", "node")), "signatures")
+    nodes = materialise(made.groupBy("node").agg(F.min("__key").alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "nodes")
     near = materialise(clusters(nodes), "clusters")
     texts = given.select("node", "__text").join(near.select("node"), "node", "left_semi").groupBy("node").agg(F.first("__text").alias("__text"))
-    sets = materialise(_per_text(texts, "shingles", "binary", lambda h: h.tobytes(), ("node",)), "shingles")
-    roots = materialise(components(materialise(links(near, sets), "links")), "roots")
+    sets = materialise(_per_text(texts, {"shingles": ("binary", lambda t: shingles(t).tobytes())}, ("node",)), "shingles")
+    every_link = links(near, sets).unionByName(fingerprint_links(nodes))
+    roots = materialise(components(materialise(every_link, "links")), "roots")
     members = materialise(nodes.select("node", "first").join(roots, "node"), "members")
     smallest = materialise(members.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     named = materialise(members.join(smallest, "root").select("node", "component_id"), "named")

@@ -123,3 +123,11 @@ def test_near_duplicate_stage_drops_edited_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert {r["doc_id"] for r in kept} == {0, 5}
+
+
+def test_near_duplicate_stage_drops_what_simhash_links(spark):
+    """Texts of one repeated phrase: few shingles in common, fingerprints within three bits."""
+    phrase = " ".join(f"word{i}" for i in range(41))
+    texts = [" ".join([phrase] * 12 + [f"own{k}x{i}" for i in range(60)]) for k in range(3)] + [" ".join(f"other{i}" for i in range(90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 3}

@@ -185,6 +185,21 @@ def test_near_copies(spark, block, monkeypatch):
     assert minhash.near_copies(docs.filter("false")).count() == 0
 
 
+def test_near_copies_by_fingerprint(spark):
+    """Texts of one repeated phrase and own ends link by SimHash at a similarity of 1/4; both kinds of link make one component."""
+    phrase = " ".join(f"word{i}" for i in range(41))
+    make = lambda times, k: " ".join([phrase] * times + [f"own{k}x{i}" for i in range(60)])
+    texts = [*(make(12, k) for k in range(8)), make(20, 8), make(20, 9), make(3, 0), make(3, 1), make(1, 2), " ".join(f"other{i}" for i in range(90)), "", " \t", None]
+    prints = [slow_fingerprint(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    near, alike = (lambda i, j: (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS), (lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    at = range(len(texts))
+    label = reach(at, lambda i, j: near(i, j) or alike(i, j))
+    docs = spark.createDataFrame([*zip(at, texts, strict=True)], "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs).collect()} == dict(zip(at, label, strict=True))
+    assert prints[8] == prints[9] and 0 < (prints[0] ^ prints[1]).bit_count() <= 3 and not alike(0, 1) and not near(0, 10) and label[:12] != reach(at, near)[:12] and label != reach(at, alike)
+
+
 @pytest.mark.parametrize("crowd", [False, True])
 def test_simhash_links(spark, crowd, monkeypatch):
     """Random fingerprints with planted neighbours at one to five bits; all in few cells for the crowd."""
